@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,20 @@ def session(cores: str | int = "*", extra: Mapping[str, str] | None = None) -> S
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, unless their path already has it."""
+    home = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="sequora-"), "sequora.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(home.rglob("*.py")):
+            archive.write(path, path.relative_to(home.parent))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
