@@ -116,11 +116,18 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """A 64-bit polynomial hash of each data[start:end], mixed; equal bytes, equal hash."""
-    up, down = powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashed = (total[ends] - total[starts]) * down[starts]
-    hashed += (ends - starts).astype(np.uint64) * _ODD
+    hashed = np.empty(len(starts), np.uint64)
+    at, block = 0, 1 << 20
+    while at < len(starts):  # a block of bytes at a time, so that memory does not follow the text
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + block)))
+        part = data[base : ends[to - 1]]
+        up, down = powers.get(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+        first, last = starts[at:to] - base, ends[at:to] - base
+        hashed[at:to] = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _ODD
+        at = to
     return mix64(hashed)
 
 

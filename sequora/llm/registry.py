@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, merkle, mixing, packing, simhash
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_packing": packing.op5_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op10_merkle": merkle.op10_merkle,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
