@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, merkle, mixing, packing, quality, simhash
+from . import exact_dedup, langid, merkle, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_langid": langid.op9_langid,
