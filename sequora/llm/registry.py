@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, merkle, mixing, packing, quality, simhash, toxicity
+from . import exact_dedup, langid, merkle, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
+    "op2_suffix": suffix.op2_suffix,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
