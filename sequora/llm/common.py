@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,12 +29,15 @@ def settle(df: DataFrame) -> DataFrame:
     The folder is the one in ``spark.checkpoint.dir``; only a session without it (a local
     test) gets a temporary folder of its own.
     """
-    spark = df.sparkSession
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sequora-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequora-"))
+    return context.getCheckpointDir()
 
 
 def text_bytes(column: str = "text") -> Column:
@@ -139,3 +143,10 @@ def rolling(values: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mix64((total[width:] - total[:-width]) * down[: len(values) - width + 1])
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again."""
+    path = f"{_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -89,7 +89,8 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int =
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: whole documents once an epoch, and the document at the cut cut at its word.
 
-    Columns are those of ``docs``; n_chars, where there is one, follows a cut text.
+    Columns are those of ``docs``; n_chars, where there is one, follows a cut text. Rows of one
+    id and size are taken alike, as often as the first of them.
     """
     text = options.get("text_column", "text")
     key = options.get("id_column", "doc_id")

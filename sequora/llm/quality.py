@@ -203,3 +203,19 @@ def scores(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return scores(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns.
+
+    Only the text goes to Python; the other columns stay where they are.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        if not len(texts):
+            return pd.Series([], dtype=np.float64)
+        return pd.Series(spread.value.score(np.stack([spread.value.vector(bytes(t)) if t is not None else np.zeros(2 * SIZE, np.float32) for t in texts])))
+
+    return docs.where(score(text_bytes(text_column)) >= threshold)

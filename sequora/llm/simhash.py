@@ -141,6 +141,16 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(labels, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_per_component(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with all their columns.
+
+    Rows that share an id stand or fall together; rows without an id stay.
+    """
+    found = near_components(docs, id_column=id_column, **options)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
