@@ -33,16 +33,18 @@ from pyspark.sql import functions as F
 from .common import documents, settle, text_bytes, tokenizer_path, word_blocks
 
 CAPACITY = 4096
+_MARKS = frozenset(bytes([c]) for c in b".,!?;:")
 _WORDS: dict[bytes, bytes] = {}
 _TOKENIZER: dict[str, object] = {}
 
 
-def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 400_000) -> list[bytes]:
+def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 800_000) -> list[bytes]:
     """Little-endian 32-bit ids of each list of words.
 
     White space never joins or splits tokens of this vocabulary's kind (it drops it), so a
-    text's ids are its words' ids in order, and a word's ids are remembered. The memory is
-    emptied when it holds ``most_words``; nothing else depends on it.
+    text's ids are its words' ids in order, and a word's ids are remembered. Letters and a
+    mark after them are tokens of their own, so a word before a mark is remembered without
+    it. The memory is emptied when it holds ``most_words``; nothing else depends on it.
     """
     if path not in _TOKENIZER:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,11 +55,16 @@ def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 400_000) -
     known = _WORDS
     if len(known) > most_words:
         known.clear()
-    new = list({w for words in blocks for w in words if w not in known})
+    new = {w for words in blocks for w in words if w not in known}
+    ended = [w for w in new if w[-1:] in _MARKS and w[:-1].decode().isalpha()]
+    new.difference_update(ended)
+    new.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in known)
+    new = list(new)
     for at in range(0, len(new), 10_000):
         part = new[at : at + 10_000]
         made = _TOKENIZER[path].encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in made), strict=True))
+    known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
     return [b"".join(map(known.__getitem__, words)) for words in blocks]
 
 
@@ -71,6 +78,8 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             for at in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(at, 512).to_pylist()
                 texts = [t or b"" for t in batch.column(1).slice(at, 512).to_pylist()]
+                # the vocabulary is lower case; a text that may name a special token stays as it is
+                texts = [t if b"<|" in t else t.lower() for t in texts]
                 blocks = [list(word_blocks(t)) for t in texts]
                 made = iter(token_ids([b for bs in blocks for b in bs], path))
                 rows = []
