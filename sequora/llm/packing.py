@@ -56,7 +56,7 @@ def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 800_000) -
     if len(known) > most_words:
         known.clear()
     new = {w for words in blocks for w in words if w not in known}
-    ended = [w for w in new if w[-1:] in _MARKS and w[:-1].decode().isalpha()]
+    ended = [w for w in new if w[-1:] in _MARKS and w[:-1].decode().lower().isalpha()]
     new.difference_update(ended)
     new.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in known)
     new = list(new)
