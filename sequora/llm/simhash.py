@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, settle, text_bytes, word_blocks
+from .common import documents, mix64, settle, text_bytes, word_blocks
 from .graph import components
 
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
@@ -141,13 +141,96 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return prints.join(labels, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+# Similarity of word shingles -------------------------------------------------
+#
+# Texts whose five-word shingles agree to 0.8 differ in some 15 % of a fingerprint's bits, far
+# more than two of 64. So the stage that drops near copies uses 512 bits, on the set of
+# shingles. The ring of 64 eight-bit segments is entered at every segment under an exact chain
+# of `exact` bits; a pair that meets there must keep to the budget over the next 64 bits of the
+# ring, and then over all 512, from which its Jaccard similarity is estimated.
+
+WIDE = 512
+_SALTS = np.random.default_rng(8).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64)
+
+
+def wide_bits(data: bytes, width: int = 5) -> tuple[np.ndarray, int]:
+    """(bits, shingles): the majority of the distinct shingles' hashes, and how many there are."""
+    held: list[bytes] = []
+    found = [np.zeros(0, np.uint64)]
+    for words in word_blocks(data):
+        held += (w.lower() for w in words)
+        if len(held) >= width:
+            shingles = map(b" ".join, zip(*(islice(held, i, None) for i in range(width)), strict=False))
+            found.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
+            held = held[len(held) - width + 1 :]
+    if len(found) == 1 and held:
+        found.append(np.array([xxhash.xxh64_intdigest(b" ".join(held))], np.uint64))
+    hashes = np.unique(np.concatenate(found))
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        part = np.stack([mix64(hashes[at : at + 255] ^ salt) for salt in _SALTS], axis=1)
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return ones * 2 > len(hashes), len(hashes)
+
+
+def wide_fingerprints(docs: DataFrame, exact: int, id_column: str, text_column: str, width: int) -> DataFrame:
+    """(id, n, fp 64 bytes, keys, ahead): for each of 64 ring places the chain's bits and the next 64."""
+    lanes = 8 * np.arange(WIDE // 8)[:, None]
+    chain, ahead = (lanes + np.arange(exact)) % WIDE, (lanes + exact + np.arange(64)) % WIDE
+    weights = 1 << np.arange(exact, dtype=np.int64)
+    place = np.arange(WIDE // 8, dtype=np.int64) << 48
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [(i, *wide_bits(t or b"", width)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                rows = [(i, n, np.packbits(b).tobytes(), b[chain] @ weights + place, np.packbits(b[ahead], axis=1).view(np.int64).ravel()) for i, b, n in made if n]
+                if rows:
+                    ids, ns, fps, keys, nexts = zip(*rows, strict=True)
+                    arrays = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(nexts, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "keys", "ahead"])
+
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
+    return rows.mapInArrow(run, "id long, n long, fp binary, keys array<long>, ahead array<long>")
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, slack: float = 0.05, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(u, v) ids of texts whose shingle sets look ``similarity`` alike, less the estimate's ``slack``.
+
+    Pairs of a bucket are compared while it has at most ``most_pairs`` rows. Fuller buckets
+    hold one large group of near copies: their rows are compared with the bucket's least id.
+    """
+    exact = min(40, max(16, docs.count().bit_length() - 2))
+    prints = settle(wide_fingerprints(docs, exact, id_column, text_column, width))
+    entries = prints.select("id", F.explode(F.arrays_zip("keys", "ahead")).alias("e")).select("id", F.col("e.keys").alias("key"), F.col("e.ahead").alias("ahead"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "ahead")).alias("first")).where("c > 1")
+    rows = entries.join(buckets, "key")
+    far = int(64 * 0.28)  # over 64 bits, more than any pair in question differs by
+    cold = rows.where(F.col("c") <= most_pairs).select("key", "id", "ahead")
+    a, b = cold.alias("a"), cold.alias("b")
+    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.ahead").bitwiseXOR(F.col("b.ahead"))) <= far))
+    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    hot = rows.where((F.col("c") > most_pairs) & (F.col("first.id") < F.col("id")) & (F.bit_count(F.col("first.ahead").bitwiseXOR(F.col("ahead"))) <= far))
+    pairs = near.unionByName(hot.select(F.col("first.id").alias("u"), F.col("id").alias("v"))).distinct()
+    full = prints.select("id", "n", "fp")
+    both = pairs.join(full.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("fp").alias("fu")), "u")
+    both = both.join(full.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fv")), "v")
+    lane = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")
+    differ = sum((F.bit_count(lane(F.col("fu"), i).bitwiseXOR(lane(F.col("fv"), i))) for i in range(WIDE // 32)), F.lit(0))
+    common = F.cos(F.lit(np.pi / WIDE) * differ) * F.sqrt(F.col("nu") * F.col("nv"))
+    estimate = common / (F.col("nu") + F.col("nv") - common)
+    return both.where(estimate >= similarity - slack).select("u", "v")
+
+
 def one_per_component(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns.
+    """The rows of ``docs`` that stay, one for each group of near copies: that of the least id.
 
-    Rows that share an id stand or fall together; rows without an id stay.
+    Rows that share an id stand or fall together; rows without an id, and texts without a
+    word, stay.
     """
-    found = near_components(docs, id_column=id_column, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = components(similar_links(docs, id_column=id_column, **options))
+    gone = found.where("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
 
 
