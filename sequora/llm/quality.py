@@ -144,17 +144,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     near = docs.sparkSession.sparkContext.broadcast(index)
 
     def contexts(batches):
-        total = np.zeros((WORDS, SIZE), np.float32)
+        places = np.nonzero(near.value)[1].reshape(WORDS, -1)
+        signs = np.take_along_axis(near.value, places, axis=1)
+        total = np.zeros(WORDS * SIZE)
+        words_, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def add() -> None:
+            w, o = np.concatenate(words_), np.concatenate(others)
+            for at in range(0, len(w), 1 << 17):
+                part, other = w[at : at + (1 << 17)], o[at : at + (1 << 17)]
+                total[:] += np.bincount((part[:, None] * SIZE + places[other]).ravel(), signs[other].ravel(), WORDS * SIZE)
+            del words_[1:], others[1:]
+
         for batch in batches:
             for text in batch.column(0):
                 words, _ = tokens(text.as_py() or b"")
                 for gap in range(1, NEAR + 1):
-                    np.add.at(total, words[:-gap], near.value[words[gap:]])
-                    np.add.at(total, words[gap:], near.value[words[:-gap]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+                    words_ += [words[:-gap], words[gap:]]
+                    others += [words[gap:], words[:-gap]]
+                if sum(map(len, words_)) >= 1 << 17:
+                    add()
+        add()
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
 
     sums = np.zeros((WORDS, SIZE), np.float32)
-    for row in sample.select("t").mapInArrow(contexts, "sums binary").collect():
+    # four tasks at any size: each returns a table of fixed size
+    for row in sample.select("t").coalesce(4).mapInArrow(contexts, "sums binary").collect():
         sums += np.frombuffer(row["sums"], np.float32).reshape(WORDS, SIZE)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     words = (sums / np.maximum(norm, 1e-9) + index / np.sqrt(8.0)).astype(np.float32)
