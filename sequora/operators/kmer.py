@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +38,33 @@ def best_match(reads: DataFrame, read: str, refs: DataFrame, ref: str, sequence:
     return ranked.where((F.col("rk") == 1) & (F.col("n") >= least) & (F.col("margin") >= margin)).select(read, ref, F.col("n").alias("overlap"), "margin")
 
 
-def leader_clusters(df: DataFrame, key: str, sequence: str, k: int = 8, share: float = 0.5) -> DataFrame:
-    """(key, leader): in order of key, a row joins the first leader that holds ``share`` of ...
+def leader_clusters(df: DataFrame, key: str, sequence: str, k: int = 8, share: float = 0.5, most_rounds: int = 200) -> DataFrame:
+    """(key, leader): in order of key, a row joins the least earlier leader that fits it, or leads.
 
-    ... the leader's k-mers in common with it, or leads a cluster of its own. The order makes
-    this sequential, so it runs in connected groups: rows that share no k-mer cannot meet.
+    A leader fits when ``share`` of its k-mers are among the row's. The order looks sequential,
+    but a row is settled as soon as all earlier rows that fit it are, so each round settles
+    every such row at once: the same result as one pass over all rows, without gathering them.
     """
-    links = pairs(df, key, sequence, k).select("a", "b", "shared")
     sizes = index(df, key, sequence, k).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = df.select(F.col(key)).join(sizes, key, "left")
-    near = rows.join(links.select(F.col("b").alias(key), F.struct("a", "shared").alias("l")), key, "left")
-    near = near.groupBy(key).agg(F.first("n").alias("n"), F.collect_list("l").alias("links")).withColumn("g", F.lit(0))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        size, leader = dict(zip(part[key], part["n"], strict=True)), {}
-        for row in part.sort_values(key).itertuples():
-            own = getattr(row, key)
-            fits = sorted(x["a"] for x in row.links if leader.get(x["a"]) == x["a"] and x["shared"] >= share * size[x["a"]])
-            leader[own] = fits[0] if fits else own
-        return pd.DataFrame({key: list(leader), "leader": list(leader.values())})
-
-    return near.groupBy("g").applyInPandas(walk, f"{key} long, leader long")
+    fits = pairs(df, key, sequence, k).join(sizes.select(F.col(key).alias("a"), "n"), "a").where(F.col("shared") >= share * F.col("n")).select("a", "b")
+    fits = _settle(fits)
+    state = _settle(df.select(F.col(key).alias("b"), F.lit(None).cast("long").alias("leader")))
+    for _ in range(most_rounds):
+        earlier = fits.join(state.select(F.col("b").alias("a"), F.col("leader").alias("of_a")), "a")
+        seen = earlier.groupBy("b").agg(F.count(F.when(F.col("of_a").isNull(), 1)).alias("open"), F.min(F.when(F.col("of_a") == F.col("a"), F.col("a"))).alias("lead"))
+        moved = state.join(seen, "b", "left")
+        decided = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("lead", "b"))
+        state = _settle(moved.select("b", decided.alias("leader")))
+        if state.where("leader is null").isEmpty():
+            return state.select(F.col("b").alias(key), "leader")
+    raise RuntimeError("leader clusters did not settle")
+
+
+def _settle(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequora-"))
+    return df.checkpoint()
 
 
 def guided_search(guides: DataFrame, df: DataFrame, key: str, sequence: str, most: int = 2) -> DataFrame:
