@@ -95,6 +95,7 @@ class Landmarks:
     least: float = 0.5
     letters: dict[str, int] = field(init=False)
     table: np.ndarray = field(init=False)  # (triple code, landmark): the triple's weight in it, normalised
+    bounds: np.ndarray = field(init=False)
     key: str = field(init=False)
 
     def __post_init__(self):
@@ -105,6 +106,10 @@ class Landmarks:
             places, weight = _triples(len(word), self.decay)
             np.add.at(self.table[:, j], self._codes([word])[0][places] @ np.array([side * side, side, 1]), weight)
         self.table /= np.maximum(np.linalg.norm(self.table, axis=0, keepdims=True), 1e-9)
+        # landmarks of one family (a common start) bound each other: the most any of eight gives
+        order = np.argsort(np.array(self.words))
+        groups = [order[i : i + 8] for i in range(0, len(order), 8)]
+        self.bounds = np.stack([self.table[:, g].max(axis=1) for g in groups], axis=1)
         self.key = "|".join([str(self.decay), str(self.least), *self.words])
 
     def _codes(self, words: list[str]) -> np.ndarray:
@@ -131,6 +136,14 @@ class Landmarks:
                 if not len(row):
                     continue
                 first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                most = np.add.reduceat(self.bounds[code[row, column]] * weight[column, None], first, axis=0).max(axis=1)
+                able = np.zeros(len(part), bool)
+                able[row[first]] = most >= self.least * floor
+                keep = able[row]
+                row, column = row[keep], column[keep]
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 dot = np.add.reduceat(self.table[code[row, column]] * weight[column, None], first, axis=0)
                 hot = np.flatnonzero(dot.max(axis=1) >= self.least * floor)
                 for h in hot:
@@ -144,20 +157,28 @@ class Landmarks:
         return np.array(near, np.int64), np.array(rows, np.float32).reshape(len(near), len(self.words))
 
 
-def rows_of(words: set[str], landmarks: Landmarks, most: int = 400_000) -> dict[str, np.ndarray | None]:
+def rows_of(words: set[str], landmarks: Landmarks, most: int = 1_200_000) -> dict[str, np.ndarray | None]:
     """Each word's kernel row (None: no landmark near), from this worker's memory."""
-    if _ROWS.get("") != landmarks.key or len(_ROWS) > most:
+    if _ROWS.get(" ") != landmarks.key or len(_ROWS) > most:
         _ROWS.clear()
-        _ROWS[""] = landmarks.key
+        _ROWS[" "] = landmarks.key  # no word is a space
     new = [w for w in words if w not in _ROWS]
+    known = {}
+    for w in new:  # a word with marks is its letters
+        if not w.isalpha() and (bare := letters(w)) in _ROWS:
+            known[w] = _ROWS[bare]
+    _ROWS.update(known)
+    new = [w for w in new if w not in known]
     if new:
         parts = [(w, r) for w in new for r in runs(w)]
         distinct = list({r for _, r in parts})
         near, values = landmarks.values(distinct)
         found = {distinct[i]: v for i, v in zip(near, values, strict=True)}
         _ROWS.update(dict.fromkeys(new))
+        for run in distinct:
+            _ROWS.setdefault(run, found.get(run))
         for word, run in parts:
-            if run in found:
+            if run in found and _ROWS[word] is not found[run]:
                 old = _ROWS[word]
                 _ROWS[word] = found[run] if old is None else np.maximum(old, found[run])
     return {w: _ROWS[w] for w in words if _ROWS[w] is not None}
