@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -33,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that shuffle files no plan needs any more go now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, documents, settle, span_hashes, word_spans
+from .common import Powers, documents, release, span_hashes, store, word_spans
 from .repeats import candidates, covered, cut
 
 WINDOW, GRAM = 50, 25
@@ -68,11 +68,12 @@ class RunIndex:
             run = self.spark.table(table).select("k1", "k2", F.col("first").alias(f"f{i}"))
             known = known.join(run.hint("merge"), ["k1", "k2"], "left")
             old = F.coalesce(old, F.col(f"f{i}"))
-        known = settle(known.select("k1", "k2", "own", old.alias("old")))
+        known = store(known.select("k1", "k2", "own", old.alias("old")))
         self._write(known.where("old is null").select("k1", "k2", F.col("own").alias("first")), 0)
         first = known.select("k1", "k2", F.least("own", "old").alias("first"))
-        hits = settle(batch.join(first, ["k1", "k2"]).where("first < o").select("o", "r", "start", "n"))
+        hits = store(batch.join(first, ["k1", "k2"]).where("first < o").select("o", "r", "start", "n"))
         self._compact()
+        release(self.spark)
         return hits
 
     def _compact(self) -> None:
@@ -96,7 +97,8 @@ class RunIndex:
 def repeated_windows(docs: DataFrame, batches: int = 4, fanout: int = 2, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(o, r, start, n): windows that also start in an earlier document."""
     spark = docs.sparkSession
-    found = settle(candidates(docs, word_units, window, gram, id_column, text_column))
+    found = store(candidates(docs, word_units, window, gram, id_column, text_column))
+    release(spark)
     cuts = sorted(set(found.approxQuantile("o", [i / batches for i in range(1, batches)], 0.01)))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = RunIndex(spark, buckets, fanout)
