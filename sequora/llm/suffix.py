@@ -19,10 +19,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, settle
+from .common import documents, release, store
 from .repeats import candidates, covered, cut, earliest
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 32
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -32,8 +32,10 @@ def byte_units(data: bytes) -> np.ndarray:
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay)."""
-    found = settle(candidates(docs, byte_units, window, gram, id_column, text_column))
-    hits = earliest(found)
+    found = store(candidates(docs, byte_units, window, gram, id_column, text_column))
+    release(docs.sparkSession)
+    hits = store(earliest(found))
+    release(docs.sparkSession)
 
     def remove(text: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple:
         total, gone, spans = len(text), 0, 0
