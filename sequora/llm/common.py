@@ -64,6 +64,15 @@ def word_blocks(data: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
         at = stop
 
 
+def quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Distinct places that cut a numeric column into ``parts`` of about equal rows; none if it is empty."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 8 * parts)).alias("q")).first()
+    return sorted(set(row["q"] or []))
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))

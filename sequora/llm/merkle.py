@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, documents, mix64, rolling, span_hashes, word_spans
+from .common import Powers, documents, mix64, quantiles, rolling, span_hashes, word_spans
 
 _DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
 _BYTES, _CONTEXT, _CHILDREN = Powers(0x2545F4914F6CDD1D), Powers(0x5851F42D4C957F2D), Powers(0x369DEA0F31A53F85)
@@ -149,7 +149,7 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column:
     ids = rows.select("key")
     parts = max(1, docs.rdd.getNumPartitions())
     ranges = 4 * parts
-    cuts = sorted(set(ids.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    cuts = quantiles(ids, "key", ranges)
     if cuts:
         bound = F.array(*[F.lit(float(c)) for c in cuts])
         bucket = F.size(F.filter(bound, lambda c: c <= F.col("key").cast("double")))

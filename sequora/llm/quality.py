@@ -93,7 +93,9 @@ class Model:
     def score(self, vectors: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(vectors), self.constant)
-        return 1.0 / (1.0 + np.exp(-np.clip(_logits(self.layers, (vectors - self.mean) / self.spread)[0] / self.temperature, -40, 40)))
+        logits = _logits(self.layers, (vectors - self.mean) / self.spread)[0]
+        # rounded, as products of matrices may differ in the last digits with the rows of a batch
+        return np.round(1.0 / (1.0 + np.exp(-np.clip(logits / self.temperature, -40, 40))), 9)
 
 
 def _logits(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

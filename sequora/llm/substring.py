@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, documents, release, span_hashes, store, word_spans
+from .common import Powers, documents, quantiles, release, span_hashes, store, word_spans
 from .repeats import candidates, covered, cut
 
 WINDOW, GRAM = 50, 25
@@ -99,7 +99,7 @@ def repeated_windows(docs: DataFrame, batches: int = 4, fanout: int = 2, window:
     spark = docs.sparkSession
     found = store(candidates(docs, word_units, window, gram, id_column, text_column))
     release(spark)
-    cuts = sorted(set(found.approxQuantile("o", [i / batches for i in range(1, batches)], 0.01)))
+    cuts = quantiles(found, "o", batches)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = RunIndex(spark, buckets, fanout)
     hits = None

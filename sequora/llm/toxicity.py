@@ -221,7 +221,7 @@ class Model:
         bare = np.zeros((1, len(self.landmarks.words)), np.float32)
         rows = sentences(texts, self.landmarks)
         worst = np.array([self.decide(np.vstack([bare, r])).max() for r in rows])
-        return 1.0 / (1.0 + np.exp(-np.clip(self.platt[0] * worst + self.platt[1], -40, 40)))
+        return np.round(1.0 / (1.0 + np.exp(-np.clip(self.platt[0] * worst + self.platt[1], -40, 40))), 9)
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 30) -> np.ndarray:
