@@ -1,0 +1,171 @@
+"""A coarse pass before ``repeats``: long copies are settled by blocks, not by windows.
+
+A border is a place whose 16-unit hash is the least of the window-1 units on either side, so
+borders lie ``window`` units apart at least, some twice that on average, and depend on nearby
+content only. A block reaches over two consecutive pieces between borders (or the ends), so
+every window of a document lies inside a block. Blocks are grouped by a 128-bit hash with
+their least document; a window inside a block that an earlier document holds is removed.
+
+What is left, the windows outside such blocks, goes through ``repeats``. That is exact: in the
+least document that holds a window every block around it is a first one, so the window is
+left there and is found.
+
+First blocks are known to the later scans by a bitmap of bounded size over (block, least
+document). A bit set by chance only leaves a copy to the finer pass; a bit that is not set
+proves that an earlier document holds the block. No text is shuffled for either.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Powers, mix64, release, rolling, settle, store
+from .repeats import _HIGH, _LOW, _ONE, _TWO, Bitmaps, Units, _batch, _rows, anchored_runs, bitmaps, chunks, earliest, least_of
+
+_EDGE, _A, _B = Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB), Powers(0x8EBC6AF09C88C6E3)
+
+
+def borders(values: np.ndarray, window: int) -> np.ndarray:
+    """0, the borders, and the number of units."""
+    hashes = rolling(values, 16, _EDGE)
+    reach = window - 1
+    if len(hashes) <= 2 * reach:
+        return np.array([0, len(values)])
+    least = least_of((hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64), 2 * reach + 1)
+    centre = np.arange(reach, len(hashes) - reach)
+    return np.concatenate([[0], centre[(least & _LOW).astype(np.int64) == centre], [len(values)]])
+
+
+def blocks(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, start, stop) of each block."""
+    at = borders(values, window)
+    start, stop = (at[:-2], at[2:]) if len(at) > 2 else (at[:1], at[1:])
+    out = []
+    for powers in (_A, _B):
+        up, down = powers.get(len(values) + 1)
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        out.append(mix64((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
+    return out[0], out[1], start, stop
+
+
+def first_blocks(rows: DataFrame, units: Units, window: int, most_bits: int = 29) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) over every block and its least document."""
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                out: list[list[np.ndarray]] = [[], [], []]
+                for o, text in zip(part.column(0), part.column(1), strict=True):
+                    for _, piece in chunks(units(text.as_py() or b""), window):
+                        one, two, _, _ = blocks(piece, window)
+                        for column, x in zip(out, (one.view(np.int64), two.view(np.int64), np.full(len(one), o.as_py(), np.int64)), strict=True):
+                            column.append(x)
+                if out[0]:
+                    yield _batch(out, ["b1", "b2", "o"])
+
+    found = rows.select("o", "t").mapInArrow(run, "b1 long, b2 long, o long")
+    firsts = settle(found.groupBy("b1", "b2").agg(F.min("o").alias("o")).select(_mark(F.col("b1"), F.col("o")).alias("v")))
+    bits = int(min(most_bits, max(12, (8 * firsts.count()).bit_length())))
+    slot = F.shiftrightunsigned("v", 64 - bits)
+    words = firsts.select(F.shiftrightunsigned(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("i"))
+    table = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
+    return bits, bitmap
+
+
+def _mark(block, o):
+    return block.bitwiseXOR(F.shiftleft(o, 40)).bitwiseXOR(F.shiftleft(o, 17))
+
+
+def settled_windows(piece: np.ndarray, o: int, window: int, bits: int, bitmap: np.ndarray) -> np.ndarray:
+    """True for the piece's windows inside a block that an earlier document holds."""
+    one, _, start, stop = blocks(piece, window)
+    o = np.uint64(o)
+    slot = (one ^ (o << np.uint64(40)) ^ (o << np.uint64(17))) >> np.uint64(64 - bits)
+    later = (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 0
+    edge = np.zeros(len(piece) - window + 2, np.int64)
+    np.add.at(edge, start[later], 1)
+    np.add.at(edge, stop[later] - window + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of each maximal run of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def repeated(docs: DataFrame, units: Units, window: int, gram: int, id_column: str, text_column: str) -> DataFrame:
+    """(o, r, start, n): windows that also start in an earlier document."""
+    spark = docs.sparkSession
+    rows = _rows(docs, id_column, text_column)
+    bits, bitmap = first_blocks(rows, units, window)
+    release(spark)
+    coarse = spark.sparkContext.broadcast((bits, bitmap))
+
+    def anchors(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                out: list[list[np.ndarray]] = [[], [], []]
+                for o, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    for _, piece in chunks(units(text.as_py() or b""), window):
+                        for a, b in stretches(~settled_windows(piece, o, window, *coarse.value)):
+                            anchor, content, _, _ = anchored_runs(piece[a : b + window - 1], window, gram)
+                            for column, x in zip(out, (anchor.view(np.int64), content.view(np.int64), np.full(len(anchor), o, np.int64)), strict=True):
+                                column.append(x)
+                if out[0]:
+                    yield _batch(out, ["a", "s", "o"])
+
+    each = rows.select("o", "t").mapInArrow(anchors, "a long, s long, o long")
+    each = each.groupBy("a").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("s").alias("s0"), F.max("s").alias("s1"))
+    shared = settle(each.where("lo < hi").select("a", (F.col("s0") != F.col("s1")).alias("mixed")))
+    fine = spark.sparkContext.broadcast(bitmaps(shared))
+    release(spark)
+    names = ["o", "r", "start", "n", "k1", "k2", "sure"]
+
+    def prints(batches):
+        m: Bitmaps = fine.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                out: list[list[np.ndarray]] = [[] for _ in names]
+
+                def add(o: int, r: int, start, n, k1, k2, sure: bool) -> None:
+                    for column, x in zip(out, (np.full(len(start), o, np.int64), np.full(len(start), r, np.int64), start, n, k1, k2, np.full(len(start), sure)), strict=True):  # noqa: B023
+                        column.append(x)
+
+                for o, r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    for at, piece in chunks(units(text.as_py() or b""), window):
+                        done = settled_windows(piece, o, window, *coarse.value)
+                        if spans := stretches(done):
+                            lo, hi = np.array(spans, np.int64).T
+                            none = np.zeros(len(lo), np.int64)
+                            add(o, r, lo + at, hi - lo, none, none, True)
+                        for a, b in stretches(~done):
+                            own = piece[a : b + window - 1]
+                            anchor, content, first, count = anchored_runs(own, window, gram)
+                            mixed = m.look(anchor, m.mixed)
+                            whole = np.flatnonzero(m.look(anchor, m.shared) & ~mixed)
+                            if len(whole):
+                                add(o, r, first[whole] + at + a, count[whole], anchor[whole].view(np.int64), content[whole].view(np.int64), False)
+                            single = np.flatnonzero(np.repeat(mixed, count))
+                            if len(single):
+                                k1, k2 = (rolling(own, window, p)[single].view(np.int64) for p in (_ONE, _TWO))
+                                add(o, r, single + at + a, np.ones(len(single), np.int64), k1, k2, False)
+                if out[0]:
+                    yield _batch(out, names)
+
+    found = store(rows.mapInArrow(prints, "o long, r long, start long, n long, k1 long, k2 long, sure boolean"))
+    release(spark)
+    sure = found.where("sure").select("o", "r", "start", "n")
+    hits = store(sure.unionByName(earliest(found.where("not sure"))))
+    release(spark)
+    return hits
+
+

@@ -2,9 +2,10 @@
 
 The texts' UTF-8 bytes lose every byte that is covered by a 50-byte string which also starts
 in a document of smaller id. README.md says why the suffixes are not sorted by induction
-here: with figures, and what stands in its place. Strings are matched by ``repeats`` on
-bytes: anchors decide which of them can match at all, and equal strings meet under a 128-bit
-fingerprint whose rows Spark sorts externally (to disk, in bounded memory).
+here: with figures, and what stands in its place. Long copies are settled by ``blocks``; the
+strings outside them are matched by ``repeats`` on bytes: anchors decide which of them can
+match at all, and equal strings meet under a 128-bit fingerprint whose rows Spark sorts
+externally (to disk, in bounded memory).
 
 Defined cases: a null text is an empty one; texts under 50 bytes lose nothing; matches never
 cross documents; a cut may split a character, so the digest is over bytes; rows with the same
@@ -19,10 +20,11 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, release, store
-from .repeats import candidates, covered, cut, earliest
+from .blocks import repeated
+from .common import documents
+from .repeats import covered, cut
 
-WINDOW, GRAM = 50, 32
+WINDOW, GRAM = 50, 24
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -32,10 +34,7 @@ def byte_units(data: bytes) -> np.ndarray:
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay)."""
-    found = store(candidates(docs, byte_units, window, gram, id_column, text_column))
-    release(docs.sparkSession)
-    hits = store(earliest(found))
-    release(docs.sparkSession)
+    hits = repeated(docs, byte_units, window, gram, id_column, text_column)
 
     def remove(text: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple:
         total, gone, spans = len(text), 0, 0
