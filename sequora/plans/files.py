@@ -78,7 +78,7 @@ def archive_roundtrip(spark, sf):
 
     def run(data):
         blocks = [data[i : i + 1024] for i in range(0, len(data), 1024)]
-        back = list(X.hlx(X.hlx_bytes(blocks)))
+        back = list(X.sqar(X.sqar_bytes(blocks)))
         return (b"".join(r[3] for r in back) == data and [r[1] for r in back] == list(range(0, len(data), 1024)),)
 
     return C.apply(table(spark, sf, "documents"), ["doc_id"], "text", run, "ok boolean")

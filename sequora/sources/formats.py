@@ -169,10 +169,10 @@ def bam_bytes(references: list[tuple[str, int]], rows: list[tuple[str, int, int,
     return zlib.compress(b"".join(out), wbits=31)
 
 
-HLX_MAGIC = b"HLXA"
+SQAR_MAGIC = b"SQAR"
 
 
-def hlx_bytes(blocks: list[bytes], block_size: int = 65536) -> bytes:
+def sqar_bytes(blocks: list[bytes], block_size: int = 65536) -> bytes:
     """An archive: magic, version, sizes as 32-bit fields, blocks (length, CRC-32, deflate), index, SHA-256."""
     import hashlib
 
@@ -184,14 +184,14 @@ def hlx_bytes(blocks: list[bytes], block_size: int = 65536) -> bytes:
         body.append(struct.pack("<II", len(packed), zlib.crc32(packed)) + packed)
         at += 8 + len(packed)
     digest = hashlib.sha256(b"".join(blocks)).digest()
-    return HLX_MAGIC + struct.pack("<IIQ", 1, block_size, len(blocks)) + b"".join(body) + b"".join(index) + digest
+    return SQAR_MAGIC + struct.pack("<IIQ", 1, block_size, len(blocks)) + b"".join(body) + b"".join(index) + digest
 
 
-def hlx(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+def sqar(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(block, offset in the content, CRC-32, content); a broken block or digest raises."""
     import hashlib
 
-    if data[:4] != HLX_MAGIC:
+    if data[:4] != SQAR_MAGIC:
         raise ValueError("not an archive")
     _, _, count = struct.unpack_from("<IIQ", data, 4)
     index, start, total = len(data) - 32 - 16 * count, 0, hashlib.sha256()
@@ -214,9 +214,9 @@ def hlx(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def sniff(data: bytes) -> str:
-    """hlx, bam, gzip, fasta, fastq, sam, vcf or unknown."""
-    if data[:4] == HLX_MAGIC:
-        return "hlx"
+    """sqar, bam, gzip, fasta, fastq, sam, vcf or unknown."""
+    if data[:4] == SQAR_MAGIC:
+        return "sqar"
     if data[:4] == b"BAM\1":
         return "bam"
     if data[:2] == b"\x1f\x8b":

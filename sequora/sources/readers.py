@@ -1,4 +1,4 @@
-"""Sequence files as DataFrames: spark.read.format("fastq" | "fasta" | "sam" | "vcf" | "fai" | "bam" | "hlx").
+"""Sequence files as DataFrames: spark.read.format("fastq" | "fasta" | "sam" | "vcf" | "fai" | "bam" | "sqar").
 
 Files are found and opened by Spark's own binary reader in ``read_files``, so any store that
 Spark can read works and each file is a task. The ``DataSource`` classes serve the short
@@ -28,7 +28,7 @@ FORMATS: dict[str, tuple[str, Callable[[bytes], Iterator[tuple]]]] = {
     "vcf": (X.VCF_FIELDS, _text(X.vcf)),
     "fai": (X.FAI_FIELDS, _text(X.fai)),
     "bam": (X.SAM_FIELDS, X.bam),
-    "hlx": ("block int, offset long, crc32 long, content binary", X.hlx),
+    "sqar": ("block int, offset long, crc32 long, content binary", X.sqar),
 }
 
 

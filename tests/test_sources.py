@@ -25,12 +25,12 @@ def test_fai_slices_clamp():
 
 
 def test_archive_detects_damage():
-    data = X.hlx_bytes([b"one", b"two" * 50])
-    assert [r[3] for r in X.hlx(data)] == [b"one", b"two" * 50] and X.sniff(data) == "hlx"
+    data = X.sqar_bytes([b"one", b"two" * 50])
+    assert [r[3] for r in X.sqar(data)] == [b"one", b"two" * 50] and X.sniff(data) == "sqar"
     hurt = bytearray(data)
     hurt[30] ^= 1
     with pytest.raises(ValueError):
-        list(X.hlx(bytes(hurt)))
+        list(X.sqar(bytes(hurt)))
 
 
 def test_data_sources(spark, tmp_path):
