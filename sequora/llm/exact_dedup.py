@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents
+from .common import SPACE, documents, settle
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -57,13 +57,15 @@ def unique_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Only the ids to drop travel to the rows; a repeated row of the id that stays is dropped too.
     """
-    groups = exact_groups(docs, id_column, text_column)
+    groups = settle(exact_groups(docs, id_column, text_column))
     kept = groups.where("kept")
     dropped = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     repeated = kept.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     text = F.coalesce(F.col(text_column), F.lit(""))
     marked = docs.withColumn("__sha", F.sha2(F.regexp_replace(text, SPACE, ""), 256)).withColumn("__id", F.col(id_column))
     stay = marked.join(dropped, marked["__id"].eqNullSafe(dropped["__id"]) & (marked["__sha"] == dropped["__sha"]), "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
     twice = repeated.select(F.col("doc_id").alias("__rid"), F.col("text_sha256").alias("__rsha"))
     again = stay.join(twice, stay["__id"].eqNullSafe(twice["__rid"]) & (stay["__sha"] == twice["__rsha"]), "left_semi").dropDuplicates(["__id", "__sha"])
     once = stay.join(twice, stay["__id"].eqNullSafe(twice["__rid"]) & (stay["__sha"] == twice["__rsha"]), "left_anti")
