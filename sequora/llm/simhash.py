@@ -21,7 +21,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import islice, repeat
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, settle, text_bytes, word_blocks
+from .common import documents, release, settle, text_bytes, word_blocks
 from .graph import components
 
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
@@ -143,18 +144,16 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 # Similarity of word shingles -------------------------------------------------
 #
-# Texts whose five-word shingles agree to 0.8 differ in some 15 % of a fingerprint's bits, far
-# more than two of 64. So the stage that drops near copies uses 512 bits, on the set of
-# shingles. The ring of 64 eight-bit segments is entered at every segment under an exact chain
-# of `exact` bits; a pair that meets there must keep to the budget over the next 64 bits of the
-# ring, and then over all 512, from which its Jaccard similarity is estimated.
+# Texts whose five-word shingles agree to 0.8 differ in some 15 % of a fingerprint's bits, so no
+# chain of exact bits finds them all in a large table. The stage that drops near copies works on
+# the shingle sets themselves. All shingles have one order; two sets of similarity t share one
+# of the first n - ceil(t n) + 1 shingles of each, whatever the number of documents. So each text is
+# entered under these, and a pair that meets is decided by the exact Jaccard similarity. The
+# order puts shingles that are frequent in a sample last; it sets the cost, not the result.
 
-WIDE = 512
-_SALTS = np.random.default_rng(8).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64)
 
-
-def wide_bits(data: bytes, width: int = 5) -> tuple[np.ndarray, int]:
-    """(bits, shingles): the majority of the distinct shingles' hashes, and how many there are."""
+def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, sorted; a shorter text is one shingle, an empty one none."""
     held: list[bytes] = []
     found = [np.zeros(0, np.uint64)]
     for words in word_blocks(data):
@@ -165,62 +164,127 @@ def wide_bits(data: bytes, width: int = 5) -> tuple[np.ndarray, int]:
             held = held[len(held) - width + 1 :]
     if len(found) == 1 and held:
         found.append(np.array([xxhash.xxh64_intdigest(b" ".join(held))], np.uint64))
-    hashes = np.unique(np.concatenate(found))
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, len(hashes), 255):  # as many as a byte can count
-        part = np.stack([mix64(hashes[at : at + 255] ^ salt) for salt in _SALTS], axis=1)
-        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return ones * 2 > len(hashes), len(hashes)
+    return np.unique(np.concatenate(found))
 
 
-def wide_fingerprints(docs: DataFrame, exact: int, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(id, n, fp 64 bytes, keys, ahead): for each of 64 ring places the chain's bits and the next 64."""
-    lanes = 8 * np.arange(WIDE // 8)[:, None]
-    chain, ahead = (lanes + np.arange(exact)) % WIDE, (lanes + exact + np.arange(64)) % WIDE
-    weights = 1 << np.arange(exact, dtype=np.int64)
-    place = np.arange(WIDE // 8, dtype=np.int64) << 48
+def shingle_sets(rows: DataFrame, width: int, kept: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(id, n, keys): n distinct shingles of each row (id, t) that has any, and those ``kept`` picks."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [(i, *wide_bits(t or b"", width)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                rows = [(i, n, np.packbits(b).tobytes(), b[chain] @ weights + place, np.packbits(b[ahead], axis=1).view(np.int64).ravel()) for i, b, n in made if n]
-                if rows:
-                    ids, ns, fps, keys, nexts = zip(*rows, strict=True)
-                    arrays = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(nexts, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "fp", "keys", "ahead"])
+                made = [(i, shingle_hashes(t or b"", width)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                made = [(i, len(h), (kept(h) if kept else h).view(np.int64)) for i, h in made if len(h)]
+                if made:
+                    ids, ns, keys = zip(*made, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "keys"])
+
+    return rows.mapInArrow(run, "id long, n long, keys array<long>")
+
+
+def frequent_shingles(rows: DataFrame, width: int, share: int = 64, least_rows: int = 4096, most: int = 1 << 17) -> np.ndarray:
+    """Up to ``most`` hashes that three sampled rows hold, rarest first; one row of ``share`` is sampled, or ``least_rows``."""
+    step = max(1, min(share, rows.count() // least_rows))
+    some = shingle_sets(rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), width)
+    counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    found = counts.orderBy(F.desc("c"), "key").limit(most).toPandas()
+    return found["key"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+def prefixes(rows: DataFrame, share: Fraction, width: int) -> DataFrame:
+    """(id, n, keys): the shingles a text is entered under, in the common order."""
+    common = frequent_shingles(rows, width)
+    order = np.argsort(common)
+    spread = rows.sparkSession.sparkContext.broadcast((common[order], order + 1))
+    up, down = share.numerator, share.denominator
+
+    def first(hashes: np.ndarray) -> np.ndarray:
+        known, rank = spread.value
+        late = np.zeros(len(hashes), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            late = np.where(known[at] == hashes, rank[at], 0)
+        return hashes[np.lexsort((hashes, late))][: len(hashes) + up * len(hashes) // -down + 1]
+
+    return shingle_sets(rows, width, first)
+
+
+def marked(rows: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows (id, t) of ``ids`` and few others, by a bitmap of 2**bits bits; texts are not shuffled."""
+    slot = lambda: F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = ids.select(slot().alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    spread = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
-    return rows.mapInArrow(run, "id long, n long, fp binary, keys array<long>, ahead array<long>")
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (spread.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select([0, 1]).filter(pa.array(hit))
+
+    return rows.select("id", "t", slot().alias("s")).mapInArrow(run, "id long, t binary")
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, slack: float = 0.05, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(u, v) ids of texts whose shingle sets look ``similarity`` alike, less the estimate's ``slack``.
+def similar_pairs(rows: DataFrame, pairs: DataFrame, share: Fraction, width: int) -> DataFrame:
+    """The pairs (u, v) of ids whose shingle sets have a Jaccard similarity of ``share`` or more."""
+    sets = settle(shingle_sets(marked(rows, pairs.select(F.explode(F.array("u", "v")).alias("id"))), width))
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("keys").alias("ku")), "u")
+    both = both.join(sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("keys").alias("kv")), "v")
+    both = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("ku", "kv")).cast("long").alias("common"))
+    return both.where(F.col("common") * share.denominator >= (F.col("n") - F.col("common")) * share.numerator).select("u", "v").distinct()
 
-    Pairs of a bucket are compared while it has at most ``most_pairs`` rows. Fuller buckets
-    hold one large group of near copies: their rows are compared with the bucket's least id.
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(u, v) links that have the components of all pairs of ids whose shingle sets are ``similarity`` alike.
+
+    First every member of a bucket is compared with its least id. What that leaves in another
+    component than the least id's is then compared with all members of other components, in
+    blocks of ``most_pairs`` rows that are spread over the tasks; so each pair of a bucket is
+    compared, or in one component already.
     """
-    exact = min(40, max(16, docs.count().bit_length() - 2))
-    prints = settle(wide_fingerprints(docs, exact, id_column, text_column, width))
-    entries = prints.select("id", F.explode(F.arrays_zip("keys", "ahead")).alias("e")).select("id", F.col("e.keys").alias("key"), F.col("e.ahead").alias("ahead"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "ahead")).alias("first")).where("c > 1")
-    rows = entries.join(buckets, "key")
-    far = int(64 * 0.28)  # over 64 bits, more than any pair in question differs by
-    cold = rows.where(F.col("c") <= most_pairs).select("key", "id", "ahead")
-    a, b = cold.alias("a"), cold.alias("b")
-    near = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.ahead").bitwiseXOR(F.col("b.ahead"))) <= far))
-    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    hot = rows.where((F.col("c") > most_pairs) & (F.col("first.id") < F.col("id")) & (F.bit_count(F.col("first.ahead").bitwiseXOR(F.col("ahead"))) <= far))
-    pairs = near.unionByName(hot.select(F.col("first.id").alias("u"), F.col("id").alias("v"))).distinct()
-    full = prints.select("id", "n", "fp")
-    both = pairs.join(full.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("fp").alias("fu")), "u")
-    both = both.join(full.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("fp").alias("fv")), "v")
-    lane = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")
-    differ = sum((F.bit_count(lane(F.col("fu"), i).bitwiseXOR(lane(F.col("fv"), i))) for i in range(WIDE // 32)), F.lit(0))
-    common = F.cos(F.lit(np.pi / WIDE) * differ) * F.sqrt(F.col("nu") * F.col("nv"))
-    estimate = common / (F.col("nu") + F.col("nv") - common)
-    return both.where(estimate >= similarity - slack).select("u", "v")
+    share = Fraction(str(similarity))
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
+    entries = settle(prefixes(rows, share, width)).select("id", "n", F.posexplode("keys").alias("at", "key"))
+    entries = entries.select("key", "id", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+
+    def may(n, at, m, to) -> Column:
+        """Whether sets of n and m shingles that first meet at places ``at`` and ``to`` can be alike."""
+        return F.least(n - at, m - to) * (share.numerator + share.denominator) >= (n + m) * share.numerator
+
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = settle(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
+    release(docs.sparkSession)
+    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("first"))
+    members = members.join(firsts, "key")
+    stars = members.where((F.col("first.id") < F.col("id")) & may(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at")))
+    stars = settle(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
+    found = settle(similar_pairs(rows, stars, share, width))
+    roots = components(found).select(F.col("node").alias("id"), "root")
+    placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = settle(placed)
+    mains = placed.where("id = least").select("key", F.col("root").alias("main")).distinct()
+    placed = placed.join(mains, "key").withColumn("out", F.col("root") != F.col("main"))
+    split = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("out").cast("long")).alias("k")).where("k > 0")
+    blocks = lambda c: F.ceil(F.col(c) / most_pairs)
+    open_ = placed.join(split.select("key", blocks("k").alias("i"), blocks("c").alias("j")), "key")
+    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = open_.where("out").select("key", "id", "n", "at", "root", block("i").alias("i"), every("j").alias("j")).alias("a")
+    b = open_.select("key", "id", "n", "at", "root", "out", every("i").alias("i"), block("j").alias("j")).alias("b")
+    near = a.join(
+        b,
+        (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.i") == F.col("b.i"))
+        & (F.col("a.j") == F.col("b.j"))
+        & (F.col("a.root") != F.col("b.root"))
+        & (~F.col("b.out") | (F.col("a.id") < F.col("b.id")))
+        & may(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")),
+    )
+    near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    near = settle(near.join(stars, ["u", "v"], "left_anti"))
+    return found.unionByName(similar_pairs(rows, near, share, width))
 
 
 def one_per_component(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:

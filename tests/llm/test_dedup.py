@@ -174,3 +174,34 @@ def test_null_ids(make, prose):
     got = {(r.doc_id, r.n_words): r.n_removed for r in substring.dedup_words(docs).collect()}
     assert got == {(None, 80): 80, (3, 80): 0, (None, 0): 0}
     assert simhash.near_components(docs).where(F.col("component_id") == 3).count() == 2
+
+
+def shingles(text):
+    words = [w.lower() for w in text.split()]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def around(prose, seed, groups=20):
+    """Texts in groups of six: one and copies of it with words changed, some 0.6 to 0.95 alike."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(groups):
+        words = prose(250, 1000 * seed + g).split()
+        for changes in (0, 2, 4, 5, 6, 8):
+            copy = words.copy()
+            for at in rng.sample(range(250), changes):
+                copy[at] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_similar_links_equal_brute_force(make, odd, prose):
+    texts = [*odd, *around(prose, 5)]
+    sets = [shingles(t or "") for t in texts]
+    found = {r.node: r.root for r in graph.components(simhash.similar_links(make(texts, True))).collect()}
+    want = brute_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    assert {i: found.get(i, i) for i in range(len(texts))} == want
