@@ -205,3 +205,16 @@ def test_similar_links_equal_brute_force(make, odd, prose):
     found = {r.node: r.root for r in graph.components(simhash.similar_links(make(texts, True))).collect()}
     want = brute_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
     assert {i: found.get(i, i) for i in range(len(texts))} == want
+
+
+
+def test_crowded_buckets_lose_no_pair(make, prose):
+    """Many texts that are mostly one passage, under 0.8 alike, and true copies of some of them."""
+    passage = prose(160, 3)
+    texts = [f"{passage} {prose(60, 5000 + i)}" for i in range(120)]
+    texts += [t + " end" for t in texts[20:60]]
+    sets = [shingles(t) for t in texts]
+    found = {r.node: r.root for r in graph.components(simhash.similar_links(make(texts), most_pairs=8)).collect()}
+    want = brute_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    assert len(set(want.values())) == 120
+    assert {i: found.get(i, i) for i in range(len(texts))} == want
