@@ -207,6 +207,12 @@ def test_similar_links_equal_brute_force(make, odd, prose):
     assert {i: found.get(i, i) for i in range(len(texts))} == want
 
 
+def test_similar_links_are_similar(make, prose):
+    texts = around(prose, 7)
+    sets = [shingles(t) for t in texts]
+    links = simhash.similar_links(make(texts)).collect()
+    assert links and all(alike(sets[r.u], sets[r.v]) for r in links)
+
 
 def test_crowded_buckets_lose_no_pair(make, prose):
     """Many texts that are mostly one passage, under 0.8 alike, and true copies of some of them."""
