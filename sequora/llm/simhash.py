@@ -167,11 +167,24 @@ def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def shingle_sets(rows: DataFrame, width: int, kept: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(id, n, keys): n distinct shingles of each row (id, t) that has any, and those ``kept`` picks."""
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+
+
+def shingle_sets(rows: DataFrame, width: int, kept: Callable[[np.ndarray], np.ndarray] | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """(id, n, keys): n distinct shingles of each row (id, t) that has any, and those ``kept`` picks.
+
+    With a bitmap ``only``, rows whose id is not marked there are left out.
+    """
+    spread = None if only is None else rows.sparkSession.sparkContext.broadcast(only)
+    if spread:
+        rows = rows.select("id", "t", _slot((64 * len(only)).bit_length() - 1).alias("s"))
 
     def run(batches):
         for batch in batches:
+            if spread:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((spread.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 made = [(i, shingle_hashes(t or b"", width)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
@@ -210,26 +223,17 @@ def prefixes(rows: DataFrame, share: Fraction, width: int) -> DataFrame:
     return shingle_sets(rows, width, first)
 
 
-def marked(rows: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
-    """The rows (id, t) of ``ids`` and few others, by a bitmap of 2**bits bits; texts are not shuffled."""
-    slot = lambda: F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    words = ids.select(slot().alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
+def marks(ids: DataFrame, bits: int = 23) -> np.ndarray:
+    """A bitmap of 2**bits bits of the ids' hashes."""
+    words = ids.select(_slot(bits).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-    spread = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches):
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = (spread.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select([0, 1]).filter(pa.array(hit))
-
-    return rows.select("id", "t", slot().alias("s")).mapInArrow(run, "id long, t binary")
+    return bitmap
 
 
 def similar_pairs(rows: DataFrame, pairs: DataFrame, share: Fraction, width: int) -> DataFrame:
     """The pairs (u, v) of ids whose shingle sets have a Jaccard similarity of ``share`` or more."""
-    sets = settle(shingle_sets(marked(rows, pairs.select(F.explode(F.array("u", "v")).alias("id"))), width))
+    sets = settle(shingle_sets(rows, width, only=marks(pairs.select(F.explode(F.array("u", "v")).alias("id")))))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("keys").alias("ku")), "u")
     both = both.join(sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("keys").alias("kv")), "v")
     both = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("ku", "kv")).cast("long").alias("common"))
