@@ -179,7 +179,7 @@ def earliest(found: DataFrame) -> DataFrame:
 
 def removed_spans(hits: DataFrame) -> DataFrame:
     """A row per document with its (start, n) pairs; as many as the document's own windows at most."""
-    return hits.groupBy("o", "r").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return hits.groupBy("o", "r").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def cut(docs: DataFrame, hits: DataFrame, remove: Callable, schema: str, id_column: str, text_column: str) -> DataFrame:

@@ -224,3 +224,22 @@ def test_crowded_buckets_lose_no_pair(make, prose):
     want = brute_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
     assert len(set(want.values())) == 120
     assert {i: found.get(i, i) for i in range(len(texts))} == want
+
+
+@pytest.mark.parametrize(("letters", "piece"), [("ab", 1 << 16), ("abcd", 64)])
+def test_suffix_short_windows(make, monkeypatch, letters, piece):
+    """Every window of eight bytes against brute force, with runs cut by small pieces."""
+    from sequora.llm import anchors
+
+    monkeypatch.setattr(anchors, "PIECE", piece)
+    rng = random.Random(len(letters))
+    texts = ["".join(rng.choices(letters, k=rng.randrange(0, 90))) for _ in range(60)]
+    got = rows(suffix.dedup_bytes(make(texts), window=8, gram=4, with_bytes=True))
+    first = {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for p in range(len(t) - 7):
+            if first.setdefault(t[p : p + 8], i) < i:
+                gone[p : p + 8] = b"\1" * 8
+        assert bytes(got[i]["kept"]).decode() == "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        assert got[i]["n_removed"] == sum(gone)
