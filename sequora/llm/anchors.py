@@ -96,24 +96,27 @@ def together(parts: Iterator[Runs], rows: int = 1 << 16) -> Iterator[Runs]:
 
 
 class Bitmap(NamedTuple):
-    """A set of 64-bit hashes by their leading bits: says yes to all of its own and to some others."""
+    """A set of 64-bit hashes by their last bits: says yes to all of its own and to some others.
+
+    An anchor is the least of many hashes, so its leading bits are nearly all zero; the last are even.
+    """
 
     bits: int
     words: np.ndarray
 
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> np.uint64(64 - self.bits)
+        slot = hashes & np.uint64((1 << self.bits) - 1)
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def bitmap(hashes: DataFrame, column: str, rows: int, most_bits: int = 29) -> Bitmap:
-    """A bitmap of ``column``: eight bits or more a row while that is within 2**most_bits bits (64 MB).
+    """A bitmap of ``column``: sixteen bits or more a row while that is within 2**most_bits bits (64 MB).
 
     A fuller one says yes more often. That lets more rows through, alike in every document.
     """
-    bits = int(min(most_bits, max(12, (8 * rows).bit_length())))
-    slot: Column = F.shiftrightunsigned(column, 64 - bits)
+    bits = int(min(most_bits, max(12, (16 * rows).bit_length())))
+    slot: Column = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     found = hashes.select(F.shiftrightunsigned(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("i"))
     table = found.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).toPandas()
     words = np.zeros(1 << (bits - 6), np.uint64)

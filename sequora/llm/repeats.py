@@ -108,13 +108,13 @@ def shared_anchors(rows: DataFrame, units: Units, window: int, gram: int) -> Dat
 
 
 class Bitmaps:
-    """Two bit sets over the leading bits of an anchor."""
+    """Two bit sets over the last bits of an anchor; its leading ones are small, as it is the least of many."""
 
     def __init__(self, bits: int, shared: np.ndarray, mixed: np.ndarray):
         self.bits, self.shared, self.mixed = bits, shared, mixed
 
     def look(self, anchors: np.ndarray, of: np.ndarray) -> np.ndarray:
-        slot = anchors >> np.uint64(64 - self.bits)
+        slot = anchors & np.uint64((1 << self.bits) - 1)
         return (of[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -122,7 +122,7 @@ def bitmaps(shared: DataFrame, most_bits: int = 29) -> Bitmaps:
     """Bitmaps of eight bits or more an anchor while that stays within 2**most_bits bits."""
     n = shared.count()
     bits = int(min(most_bits, max(12, (8 * n).bit_length())))
-    slot = F.shiftrightunsigned("a", 64 - bits)
+    slot = F.col("a").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     found = shared.select("mixed", F.shiftrightunsigned(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("i"))
     rows = found.groupBy("mixed", "w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).toPandas()
     out = [np.zeros(1 << (bits - 6), np.uint64) for _ in range(2)]
