@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Powers, mix64
-from .repeats import least_of
 
 PIECE = 1 << 16
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -30,6 +29,16 @@ _GRAM = Powers(0x9FB21C651E98DF25)
 _HIGH, _LOW = np.uint64(0xFFFFFFFFFF000000), np.uint64(0xFFFFFF)
 
 
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` consecutive values, by doubling."""
+    have, out = 1, x
+    while have * 2 <= width:
+        out = np.minimum(out[: len(out) - have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
 class Runs(NamedTuple):
     """Per run: text number in the batch, first window and anchor place in that text, windows, hashes."""
 
@@ -110,15 +119,36 @@ class Bitmap(NamedTuple):
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bitmap(hashes: DataFrame, column: str, rows: int, most_bits: int = 29) -> Bitmap:
-    """A bitmap of ``column``: sixteen bits or more a row while that is within 2**most_bits bits (64 MB).
+def bitmaps(shared: DataFrame, most_bits: int = 29) -> tuple[Bitmap, Bitmap]:
+    """Bitmaps of the hashes ``a``, and of those that are ``mixed``, in shares of 32 KB.
 
-    A fuller one says yes more often. That lets more rows through, alike in every document.
+    They have sixteen bits or more a row while that is within 2**most_bits bits (64 MB). A fuller
+    one says yes more often. That lets more rows through, alike in every document. Each share is
+    filled in one task, from rows that are not held; the last bits are even, so shares are too.
     """
-    bits = int(min(most_bits, max(12, (16 * rows).bit_length())))
-    slot: Column = F.col(column).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    found = hashes.select(F.shiftrightunsigned(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("i"))
-    table = found.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).toPandas()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
-    return Bitmap(bits, words)
+    bits = int(min(most_bits, max(12, (16 * shared.count()).bit_length())))
+    wide = min(bits, 18)
+    slot: Column = F.col("a").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    rows = shared.select(F.shiftright(slot, wide).alias("share"), slot.bitwiseAND(F.lit((1 << wide) - 1)).cast("int").alias("at"), "mixed")
+
+    def fill(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            share, at, mixed = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for k in np.unique(share).tolist():
+                if k not in made:
+                    made[k] = np.zeros((2, 1 << wide), bool)
+                own = share == k
+                made[k][0, at[own]] = True
+                made[k][1, at[own & mixed]] = True
+        for k, both in made.items():
+            some, many = (np.packbits(x, bitorder="little").tobytes() for x in both)
+            yield pa.RecordBatch.from_pydict({"share": [k], "some": [some], "many": [many]})
+
+    found = rows.repartition(min(1 << (bits - wide), max(1, int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "share")
+    words = np.zeros((2, 1 << (bits - 6)), np.uint64)
+    size = 1 << (wide - 6)
+    for row in found.mapInArrow(fill, "share long, some binary, many binary").collect():
+        for k in range(2):
+            words[k, row["share"] * size : (row["share"] + 1) * size] = np.frombuffer(row[k + 1], np.uint64)
+    return Bitmap(bits, words[0]), Bitmap(bits, words[1])

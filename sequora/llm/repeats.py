@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import Bitmap, bitmaps, least_of
 from .common import Powers, mix64, rolling, settle, text_bytes
 
 _ONE, _TWO, _RUNS = Powers(0x9FB21C651E98DF25), Powers(0xC2B2AE3D27D4EB4F), Powers(0xFF51AFD7ED558CCD)
@@ -37,16 +38,6 @@ _LAST = (1 << 63) - 1
 CHUNK = 1 << 22
 
 
-def least_of(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` consecutive values, by doubling."""
-    have, out = 1, x
-    while have * 2 <= width:
-        out = np.minimum(out[: len(out) - have], out[have:])
-        have *= 2
-    rest = width - have
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
-
-
 def chunks(values: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bounded parts of a document's units that hold each of its windows once."""
     for at in range(0, len(values) - window + 1, CHUNK):
@@ -107,38 +98,13 @@ def shared_anchors(rows: DataFrame, units: Units, window: int, gram: int) -> Dat
     return each.where("lo < hi").select("a", (F.col("s0") != F.col("s1")).alias("mixed"))
 
 
-class Bitmaps:
-    """Two bit sets over the last bits of an anchor; its leading ones are small, as it is the least of many."""
-
-    def __init__(self, bits: int, shared: np.ndarray, mixed: np.ndarray):
-        self.bits, self.shared, self.mixed = bits, shared, mixed
-
-    def look(self, anchors: np.ndarray, of: np.ndarray) -> np.ndarray:
-        slot = anchors & np.uint64((1 << self.bits) - 1)
-        return (of[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmaps(shared: DataFrame, most_bits: int = 29) -> Bitmaps:
-    """Bitmaps of eight bits or more an anchor while that stays within 2**most_bits bits."""
-    n = shared.count()
-    bits = int(min(most_bits, max(12, (8 * n).bit_length())))
-    slot = F.col("a").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    found = shared.select("mixed", F.shiftrightunsigned(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("i"))
-    rows = found.groupBy("mixed", "w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).toPandas()
-    out = [np.zeros(1 << (bits - 6), np.uint64) for _ in range(2)]
-    for k, flag in enumerate((False, True)):
-        part = rows[rows["mixed"] == flag]
-        out[k][part["w"].to_numpy(np.int64)] = part["b"].to_numpy(np.int64).view(np.uint64)
-    return Bitmaps(bits, *out)
-
-
-def fingerprints(rows: DataFrame, units: Units, window: int, gram: int, maps: Bitmaps) -> DataFrame:
+def fingerprints(rows: DataFrame, units: Units, window: int, gram: int, maps: tuple[Bitmap, Bitmap]) -> DataFrame:
     """(o, r, start, n, k1, k2): n windows from start, under one fingerprint."""
     spread = rows.sparkSession.sparkContext.broadcast(maps)
     names = ["o", "r", "start", "n", "k1", "k2"]
 
     def run(batches):
-        m = spread.value
+        some, many = spread.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
@@ -147,8 +113,8 @@ def fingerprints(rows: DataFrame, units: Units, window: int, gram: int, maps: Bi
                     values = units(text.as_py() or b"")
                     for at, piece in chunks(values, window):
                         anchor, content, first, count = anchored_runs(piece, window, gram)
-                        mixed = m.look(anchor, m.mixed)
-                        whole = np.flatnonzero(m.look(anchor, m.shared) & ~mixed)
+                        mixed = many.has(anchor)
+                        whole = np.flatnonzero(some.has(anchor) & ~mixed)
                         each = np.flatnonzero(np.repeat(mixed, count))
                         if not len(whole) + len(each):
                             continue

@@ -123,9 +123,7 @@ def removed(docs: DataFrame, window: int, gram: int, id_column: str, text_column
     rows = _rows(docs, id_column, text_column)
     shared = store(shared_anchors(rows, window, gram))
     release(spark)
-    size = shared.count()
-    maps = [anchors.bitmap(shared, "a", size), anchors.bitmap(shared.where("mixed"), "a", size)]
-    found = store(shared_runs(rows, window, gram, *maps))
+    found = store(shared_runs(rows, window, gram, *anchors.bitmaps(shared)))
     gone = store(inner_windows(found, window, gram))
     release(spark)
     first = found.groupBy("a", "s").agg(F.min("o").alias("lo")).join(gone, ["a", "s"], "left")
