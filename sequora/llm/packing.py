@@ -38,7 +38,7 @@ _WORDS: dict[bytes, bytes] = {}
 _TOKENIZER: dict[str, object] = {}
 
 
-def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 800_000) -> list[bytes]:
+def token_ids(blocks: list[list[bytes]], path: str, most_words: int) -> list[bytes]:
     """Little-endian 32-bit ids of each list of words.
 
     White space never joins or splits tokens of this vocabulary's kind (it drops it), so a
@@ -68,8 +68,11 @@ def token_ids(blocks: list[list[bytes]], path: str, most_words: int = 800_000) -
     return [b"".join(map(known.__getitem__, words)) for words in blocks]
 
 
-def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), a row a piece."""
+def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, most_words: int = 800_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32), a row a piece.
+
+    ``most_words``: words whose ids a Python worker remembers (some 200 bytes each).
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -81,7 +84,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 # the vocabulary is lower case; a text that may name a special token stays as it is
                 texts = [t if b"<|" in t else t.lower() for t in texts]
                 blocks = [list(word_blocks(t)) for t in texts]
-                made = iter(token_ids([b for bs in blocks for b in bs], path))
+                made = iter(token_ids([b for bs in blocks for b in bs], path, most_words))
                 rows = []
                 for doc_id, bs in zip(ids, blocks, strict=True):
                     raw = b"".join([next(made) for _ in bs] + [end])

@@ -169,10 +169,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
         add()
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
 
-    sums = np.zeros((WORDS, SIZE), np.float32)
-    # four tasks at any size: each returns a table of fixed size
-    for row in sample.select("t").coalesce(4).mapInArrow(contexts, "sums binary").collect():
-        sums += np.frombuffer(row["sums"], np.float32).reshape(WORDS, SIZE)
+    def summed(batches):
+        total = np.zeros(WORDS * SIZE, np.float32)
+        for batch in batches:
+            for table in batch.column(0):
+                total += np.frombuffer(table.as_buffer(), np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    # four tasks at any size, each with a table of fixed size; one task adds them up for the driver
+    tables = sample.select("t").coalesce(4).mapInArrow(contexts, "sums binary").repartition(1).mapInArrow(summed, "sums binary")
+    sums = np.frombuffer(tables.first()["sums"], np.float32).reshape(WORDS, SIZE)
+    near.destroy()
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     words = (sums / np.maximum(norm, 1e-9) + index / np.sqrt(8.0)).astype(np.float32)
     model = Model(words, shapes, np.zeros(2 * SIZE, np.float32), np.ones(2 * SIZE, np.float32), [], 1.0)
@@ -184,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["doc_id", "v", "y"])
 
     rows = sample.select("doc_id", "t", "y").mapInArrow(vectors, "doc_id long, v binary, y int").toPandas().sort_values(["doc_id", "v"])
+    spread.destroy()
     if rows["y"].nunique() < 2:
         model.constant = float(rows["y"].mean()) if len(rows) else 0.5
         return model
