@@ -12,11 +12,11 @@ by induction. What stands in its place handles a run of windows (``anchors``) as
 3. Different runs of one anchor can still share windows. Each distinct run of a mixed anchor is
    taken once, with its bytes. Its windows are dealt into ``parts`` by the place of the anchor in
    them; all windows of a part have a core of bytes in common, so a window can be shared only if
-   another run has the same core. Only such windows become rows, and are grouped by their bytes.
+   another run has the same core. Only such windows become rows.
 
 So the windows outside repeats are never rows, and a passage in a third of all documents is one
-row per map task. Bytes are compared in step 3; in step 2 equal runs agree in two 64-bit hashes,
-one of the anchor and one of the whole run.
+row per map task. Equal runs agree in two 64-bit hashes, one of the anchor and one of the whole
+run; equal windows in two 64-bit hashes of their bytes.
 
 Defined cases: a null text is an empty one; texts under 50 bytes lose nothing; a very long text is
 scanned in bounded pieces, and its removed spans are gathered once each; matches never cross
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import documents, release, store
+from .common import discard, documents, release, store
 from .repeats import _rows, covered, cut
 
 WINDOW, GRAM, PARTS = 50, 24, 4
@@ -59,22 +59,24 @@ def shared_anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return each.where("lo < hi").select("a", (F.col("s0") != F.col("s1")).alias("mixed"))
 
 
-def shared_runs(rows: DataFrame, window: int, gram: int, shared: anchors.Bitmap, mixed: anchors.Bitmap) -> DataFrame:
-    """(o, r, start, n, a, s, mixed, left, bytes): the runs of shared anchors.
+def shared_runs(rows: DataFrame, window: int, gram: int, maps, turn: int, turns: int) -> DataFrame:
+    """(o, r, start, n, a, s, mixed, left, bytes): the runs of shared anchors, of one turn's anchors.
+
+    maps: a broadcast of the bitmaps of shared and of mixed anchors.
 
     left: windows begin up to so many bytes before the anchor. bytes: of a mixed anchor's run, once
     for each distinct run of a batch.
     """
-    spread = rows.sparkSession.sparkContext.broadcast((shared, mixed))
     names = ["o", "r", "start", "n", "a", "s", "mixed", "left", "bytes"]
 
     def run(batches):
-        some, many = spread.value
+        some, many = maps.value
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, edges = anchors.buffer(batch.column(2))
             for part in anchors.together(anchors.runs(raw, edges, window, gram)):
-                part = anchors.Runs(*(x[some.has(part.anchor)] for x in part))
+                used = some.has(part.anchor) & (part.anchor % np.uint64(turns) == turn)
+                part = anchors.Runs(*(x[used] for x in part))
                 if not len(part.text):
                     continue
                 several = many.has(part.anchor)
@@ -99,6 +101,7 @@ def inner_windows(found: DataFrame, window: int, gram: int, parts: int = PARTS)
     """
     each = found.where("mixed").groupBy("a", "s").agg(F.min("o").alias("lo"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("bytes").alias("bytes"))
     each = store(each)
+    release(found.sparkSession)
     wide = -(-(window - gram + 1) // parts)
     # windows of part p begin p*wide to (p+1)*wide-1 bytes before the anchor; j counts from the run's first window
     spans = []
@@ -109,29 +112,43 @@ def inner_windows(found: DataFrame, window: int, gram: int, parts: int = PARTS)
         spans.append(F.struct(F.lit(p).alias("p"), first.alias("j0"), last.alias("j1"), F.xxhash64("a", F.lit(p), core).alias("core")))
     cores = each.select("a", "s", "lo", F.inline(F.array(*spans))).where("j0 <= j1")
     several = cores.groupBy("core").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("core")
-    close = cores.join(several, "core", "left_semi").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1, p)")).alias("open"))
-    there = each.join(close, ["a", "s"]).select("a", "s", "lo", "bytes", F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.col("open").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.floor((F.col("left") - j) / wide).cast("int"))) != 0)).alias("j"))
-    there = there.select("a", "s", "lo", "j", F.substring(F.col("bytes"), F.col("j") + 1, F.lit(window)).alias("w"))
-    least = there.groupBy("a", "w").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most")
-    gone = there.join(least, ["a", "w"]).where("least < lo")
-    return gone.groupBy("a", "s").agg(F.collect_set("j").alias("gone"))
-
-
-def removed(docs: DataFrame, window: int, gram: int, id_column: str, text_column: str) -> DataFrame:
-    """(o, r, start, n): windows that also start in an earlier document."""
+    close = cores.select("a", "s", "p", "core").join(several, "core", "left_semi").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1, p)")).alias("open"))
+    close = store(close)
+    release(found.sparkSession)
+    part = F.floor((F.col("left") - F.col("j")) / wide).cast("int")
+    there = each.join(close, ["a", "s"]).select("a", "s", "lo", "bytes", "open", "left", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    there = there.where(F.getbit("open", part) == 1).withColumn("w", F.substring(F.col("bytes"), F.col("j") + 1, F.lit(window)))
+    there = there.select("a", "s", "lo", "j", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"))
+    least = there.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("k1", "k2", "least")
+    gone = store(there.join(least, ["k1", "k2"]).where("least < lo").groupBy("a", "s").agg(F.collect_set("j").alias("gone")))
+    discard(each, close)
+    return gone
+
+
+def removed(docs: DataFrame, window: int, gram: int, id_column: str, text_column: str, turns: int = 2) -> DataFrame:
+    """(o, r, start, n): windows that also start in an earlier document.
+
+    Anchors are worked through in ``turns`` equal shares, each with a scan, so that the rows of one
+    share are on disk at a time.
+    """
     spark = docs.sparkSession
     rows = _rows(docs, id_column, text_column)
     shared = store(shared_anchors(rows, window, gram))
     release(spark)
-    found = store(shared_runs(rows, window, gram, *anchors.bitmaps(shared)))
-    gone = store(inner_windows(found, window, gram))
-    release(spark)
-    first = found.groupBy("a", "s").agg(F.min("o").alias("lo")).join(gone, ["a", "s"], "left")
-    joined = found.select("o", "r", "start", "n", "a", "s").join(first, ["a", "s"]).where("lo < o or gone is not null")
-    whole = F.array(F.struct(F.col("start"), F.col("n").cast("long").alias("n")))
-    some = F.transform("gone", lambda j: F.struct((F.col("start") + j).alias("start"), F.lit(1).cast("long").alias("n")))
-    hits = store(joined.select("o", "r", F.inline(F.when(F.col("lo") < F.col("o"), whole).otherwise(some))))
-    release(spark)
+    maps = spark.sparkContext.broadcast(anchors.bitmaps(shared))
+    discard(shared)
+    hits = None
+    for turn in range(turns):
+        found = store(shared_runs(rows, window, gram, maps, turn, turns))
+        gone = inner_windows(found, window, gram)
+        first = found.groupBy("a", "s").agg(F.min("o").alias("lo")).join(gone, ["a", "s"], "left")
+        joined = found.select("o", "r", "start", "n", "a", "s").join(first, ["a", "s"]).where("lo < o or gone is not null")
+        whole = F.array(F.struct(F.col("start"), F.col("n").cast("long").alias("n")))
+        some = F.transform("gone", lambda j: F.struct((F.col("start") + j).alias("start"), F.lit(1).cast("long").alias("n")))
+        more = store(joined.select("o", "r", F.inline(F.when(F.col("lo") < F.col("o"), whole).otherwise(some))))
+        hits = more if hits is None else hits.unionByName(more)
+        discard(found, gone)
+    maps.destroy()
     return hits
 
 
