@@ -64,6 +64,20 @@ def word_blocks(data: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
         at = stop
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns beside those of ``df``, which may hold any name, in any case."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "__"
+    while any(prefix + n in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def quantiles(df: DataFrame, column: str, parts: int) -> list[float]:
     """Distinct places that cut a numeric column into ``parts`` of about equal rows; none if it is empty."""
     if parts < 2:

@@ -16,10 +16,10 @@ and returned unchanged by ``unique_rows``; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, settle
+from .common import SPACE, documents, free_names, own_columns, settle
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -53,23 +53,27 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def unique_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
 
-    Only the ids to drop travel to the rows; a repeated row of the id that stays is dropped too.
+    Only the ids to drop travel to the rows. Of repeated rows of the id that stays, one of the
+    longest text stays. A very long text is hashed where it lies.
     """
+    key, sha, rank, lost, lost_sha = free_names(docs, "key", "sha", "rank", "lost", "lostsha")
     groups = settle(exact_groups(docs, id_column, text_column))
     kept = groups.where("kept")
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    dropped = groups.where("not kept").select(F.col("doc_id").alias(lost), F.col("text_sha256").alias(lost_sha)).distinct()
     repeated = kept.where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    marked = docs.withColumn("__sha", F.sha2(F.regexp_replace(text, SPACE, ""), 256)).withColumn("__id", F.col(id_column))
-    stay = marked.join(dropped, marked["__id"].eqNullSafe(dropped["__id"]) & (marked["__sha"] == dropped["__sha"]), "left_anti")
-    if repeated.isEmpty():
-        return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = repeated.select(F.col("doc_id").alias("__rid"), F.col("text_sha256").alias("__rsha"))
-    again = stay.join(twice, stay["__id"].eqNullSafe(twice["__rid"]) & (stay["__sha"] == twice["__rsha"]), "left_semi").dropDuplicates(["__id", "__sha"])
-    once = stay.join(twice, stay["__id"].eqNullSafe(twice["__rid"]) & (stay["__sha"] == twice["__rsha"]), "left_anti")
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select("*", F.sha2(F.regexp_replace(text, SPACE, ""), 256).alias(sha), F.col(id_column).alias(key))
+    same = F.col(key).eqNullSafe(F.col(lost)) & (F.col(sha) == F.col(lost_sha))
+    stay = marked.join(dropped, same, "left_anti")
+    if not repeated.isEmpty():
+        twice = repeated.select(F.col("doc_id").alias(lost), F.col("text_sha256").alias(lost_sha))
+        first = Window.partitionBy(key, sha).orderBy(F.length(text).desc(), text)
+        # ranks of at most 1 are cut in every task before the shuffle, so a large group is one row a task
+        again = stay.join(twice, same, "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+        stay = stay.join(twice, same, "left_anti").unionByName(again)
+    return stay.select(*own_columns(docs))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, settle
+from .common import WORD, documents, free_names, own_columns, settle
 
 WEIGHTS = (3, 1, 2)
 
@@ -53,8 +53,13 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most_epochs: int = 2, w
     return filled.select("absent", "name", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int = 2, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words taken, repeats counted), a row a row."""
+    return _taken(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int = 2, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """mix's columns, the source, the number of whole epochs, and a tag that tells texts apart."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary"))
     rows = settle(
         docs.select(
@@ -63,6 +68,7 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int =
             F.coalesce(F.col(source_column), F.lit("")).alias("name"),
             word_count(text_column).alias("size"),
             key.alias("key"),
+            F.xxhash64(text_column).alias("tag"),
         ).withColumn("cell", F.substring("key", 1, 3))
     )
     cells = rows.groupBy("absent", "name", "cell").agg(F.sum("size").alias("cell_size"))
@@ -73,7 +79,7 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int =
         .join(targets, ["absent", "name"])
         .select("absent", "name", "cell", "start", "source_size", "target")
     )
-    inside = Window.partitionBy("absent", "name", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("absent", "name", "cell").orderBy("key", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     placed = (
@@ -83,31 +89,43 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most_epochs: int =
         .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     )
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + cut).cast("long").alias("taken"))
+    taken = (F.col("size") * F.col("epochs") + cut).cast("long")
+    return placed.select("doc_id", "absent", "name", "size", "tag", "source_size", "target", "epochs", taken.alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: whole documents once an epoch, and the document at the cut cut at its word.
 
-    Columns are those of ``docs``; n_chars, where there is one, follows a cut text. Rows of one
-    id and size are taken alike, as often as the first of them.
+    Columns are those of ``docs``, whatever they are called; n_chars, where there is one, follows a
+    cut text. Of rows alike in id, source and text, as many are taken as the budget has room for;
+    a source's cut goes through one such group at most, and only that group is numbered.
     """
-    text = options.get("text_column", "text")
-    key = options.get("id_column", "doc_id")
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"), F.min("taken").alias("__least"))
-    rows = docs.withColumn("__n", word_count(text))
-    joined = rows.join(taken, rows[key].eqNullSafe(taken["__id"]) & (F.col("__n") == F.col("__size")))
-    joined = joined.where("__taken > 0").withColumn("__epochs", F.floor(F.col("__taken") / F.col("__size")).cast("int"))
-    joined = joined.withColumn("__cut", (F.col("__taken") - F.col("__epochs") * F.col("__size")).cast("int"))
-    copies = F.when(F.col("__epochs") > 0, F.sequence(F.lit(1), F.col("__epochs"))).otherwise(F.array().cast("array<int>"))
-    copies = F.when(F.col("__cut") > 0, F.concat(copies, F.array(F.lit(0)))).otherwise(copies)
-    each = joined.withColumn("__copy", F.explode(copies))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(F.col("__cut"), F.lit(1))), " ")
-    new_text = F.when(F.col("__copy") == 0, head).otherwise(F.col(text))
-    out = each.withColumn(text, new_text)
+    text, key, source = (options.get(k, v) for k, v in (("text_column", "text"), ("id_column", "doc_id"), ("source_column", "source")))
+    size, tag, copy, rank, head = free_names(docs, "size", "tag", "copy", "rank", "head")
+    into = free_names(docs, "id", "absent", "name", "words", "hash", "epochs", "rest", "rows")
+    to_id, absent, name, words, hashed, epochs, rest, count = into
+    same = ["doc_id", "absent", "name", "size", "tag", "epochs"]
+    sums = _taken(docs, **options).groupBy(*same).agg(F.sum(F.col("taken") - F.col("size") * F.col("epochs")).alias("rest"), F.count(F.lit(1)).alias("rows")).toDF(*into)
+    sums = settle(sums.where((F.col(words) > 0) & ((F.col(epochs) > 0) | (F.col(rest) > 0))))
+    joined = docs.select("*", word_count(text).alias(size), F.xxhash64(text).alias(tag)).join(
+        sums,
+        F.col(key).eqNullSafe(F.col(to_id)) & (F.col(source).isNull() == F.col(absent)) & (F.coalesce(F.col(source), F.lit("")) == F.col(name)) & (F.col(size) == F.col(words)) & (F.col(tag) == F.col(hashed)),
+    )
+    cut_group = (F.col(count) > 1) & (F.col(rest) > 0) & (F.col(rest) < F.col(words) * F.col(count))
+    if sums.where(cut_group).isEmpty():
+        ranked = joined.withColumn(rank, F.lit(0))
+    else:
+        order = Window.partitionBy(to_id, absent, name, words, hashed).orderBy(text)
+        ranked = joined.where(~cut_group).withColumn(rank, F.lit(0)).unionByName(joined.where(cut_group).withColumn(rank, F.row_number().over(order) - 1))
+    part = F.greatest(F.lit(0), F.least(F.col(words), F.col(rest) - F.col(rank) * F.col(words))).cast("int")
+    copies = F.when(F.col(epochs) > 0, F.sequence(F.lit(1), F.col(epochs).cast("int"))).otherwise(F.array().cast("array<int>"))
+    more = F.when(part == F.col(words), F.array(F.col(epochs).cast("int") + 1)).when(part > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    each = ranked.withColumn(head, part).withColumn(copy, F.explode(F.concat(copies, more)))
+    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest(F.col(head), F.lit(1))), " ")
+    out = each.withColumn(text, F.when(F.col(copy) == 0, begun).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__copy") == 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col(copy) == 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*own_columns(docs))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,42 @@ def test_edited_fingerprints(make, odd, prose):
     assert only.near_next == 1.0
     nulls = merkle.edited_fingerprints(make([(None, "a", "en", "x"), (None, "b", "en", "x"), (2, "c", "en", "x")])).collect()
     assert len(nulls) == 3
+
+
+CLASHES = ("key", "sha", "rank", "size", "tag", "copy", "id", "absent", "name", "words", "hash", "epochs", "rest", "rows", "__key", "__sha", "__id", "__size", "__rank", "__gone")
+
+
+def clashing(docs):
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)])
+
+
+def test_stages_return_clashing_columns_unchanged(make, odd, prose):
+    from sequora.llm import exact_dedup, simhash
+
+    docs = clashing(make([*odd, *(prose(40, i % 20) for i in range(40))]))
+    for stage in (exact_dedup.unique_rows, simhash.one_per_component, mixing.mixed_rows):
+        found = stage(docs)
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert [r[c] for c in CLASHES] == list(range(len(CLASHES)))
+
+
+def test_repeated_rows_keep_to_the_budget(make, prose):
+    """Rows alike in all, rows of one id and size with other texts, and null ids and sources."""
+    rows = [(1, prose(30, 1), "en", "a")] * 7 + [(2, prose(30, i), "en", "a") for i in range(5)] + [(None, prose(20, 9), "en", None)] * 6 + [(4, prose(25, 4), "en", "b")] * 4 + [(5, None, "en", "b"), (6, "", "en", "c")]
+    docs = make(rows)
+    taken, mixed = {}, {}
+    for r in mixing._taken(docs).collect():
+        taken[r.name] = taken.get(r.name, 0) + r.taken
+    for r in mixing.mixed_rows(docs).collect():
+        mixed[r.source or ""] = mixed.get(r.source or "", 0) + len(r.text.split())
+    assert mixed == {k: n for k, n in taken.items() if n}
+
+
+def test_the_longest_of_repeated_spellings_stays(make):
+    from sequora.llm import exact_dedup
+
+    docs = make([(1, "a b", "en", "s"), (1, "a  b ", "en", "s"), (1, "ab", "en", "s"), (2, "a b", "en", "s")])
+    assert [(r.doc_id, r.text) for r in exact_dedup.unique_rows(docs).collect()] == [(1, "a  b ")]
