@@ -142,12 +142,13 @@ def removed(docs: DataFrame, window: int, gram: int, id_column: str, text_column
         found = store(shared_runs(rows, window, gram, maps, turn, turns))
         gone = inner_windows(found, window, gram)
         first = found.groupBy("a", "s").agg(F.min("o").alias("lo")).join(gone, ["a", "s"], "left")
+        first = store(first)  # so that both sides of the join are shuffles, and a passage in many documents can be split
         joined = found.select("o", "r", "start", "n", "a", "s").join(first, ["a", "s"]).where("lo < o or gone is not null")
         whole = F.array(F.struct(F.col("start"), F.col("n").cast("long").alias("n")))
         some = F.transform("gone", lambda j: F.struct((F.col("start") + j).alias("start"), F.lit(1).cast("long").alias("n")))
         more = store(joined.select("o", "r", F.inline(F.when(F.col("lo") < F.col("o"), whole).otherwise(some))))
         hits = more if hits is None else hits.unionByName(more)
-        discard(found, gone)
+        discard(found, gone, first)
     maps.destroy()
     return hits
 
