@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, settle, text_bytes, word_blocks
+from .common import discard, documents, release, settle, store, text_bytes, word_blocks
 from .graph import components
 
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
@@ -233,11 +233,13 @@ def marks(ids: DataFrame, bits: int = 23) -> np.ndarray:
 
 def similar_pairs(rows: DataFrame, pairs: DataFrame, share: Fraction, width: int) -> DataFrame:
     """The pairs (u, v) of ids whose shingle sets have a Jaccard similarity of ``share`` or more."""
-    sets = settle(shingle_sets(rows, width, only=marks(pairs.select(F.explode(F.array("u", "v")).alias("id")))))
+    sets = store(shingle_sets(rows, width, only=marks(pairs.select(F.explode(F.array("u", "v")).alias("id")))))
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("keys").alias("ku")), "u")
     both = both.join(sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("keys").alias("kv")), "v")
-    both = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("ku", "kv")).cast("long").alias("common"))
-    return both.where(F.col("common") * share.denominator >= (F.col("n") - F.col("common")) * share.numerator).select("u", "v").distinct()
+    alike = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("ku", "kv")).cast("long").alias("common"))
+    alike = store(alike.where(F.col("common") * share.denominator >= (F.col("n") - F.col("common")) * share.numerator).select("u", "v").distinct())
+    discard(sets)
+    return alike
 
 
 def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -250,7 +252,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     """
     share = Fraction(str(similarity))
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
-    entries = settle(prefixes(rows, share, width)).select("id", "n", F.posexplode("keys").alias("at", "key"))
+    entered = store(prefixes(rows, share, width))
+    entries = entered.select("id", "n", F.posexplode("keys").alias("at", "key"))
     entries = entries.select("key", "id", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
 
     def may(n, at, m, to) -> Column:
@@ -258,16 +261,18 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         return F.least(n - at, m - to) * (share.numerator + share.denominator) >= (n + m) * share.numerator
 
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = settle(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
-    release(docs.sparkSession)
-    firsts = members.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("first"))
-    members = members.join(firsts, "key")
+    held = store(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
+    discard(entered)
+    firsts = held.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("first"))
+    members = held.join(firsts, "key")
     stars = members.where((F.col("first.id") < F.col("id")) & may(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at")))
-    stars = settle(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
-    found = settle(similar_pairs(rows, stars, share, width))
+    stars = store(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
+    release(docs.sparkSession)
+    found = similar_pairs(rows, stars, share, width)
     roots = components(found).select(F.col("node").alias("id"), "root")
     placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = settle(placed)
+    placed = laid = store(placed)
+    discard(held)
     mains = placed.where("id = least").select("key", F.col("root").alias("main")).distinct()
     placed = placed.join(mains, "key").withColumn("out", F.col("root") != F.col("main"))
     split = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("out").cast("long")).alias("k")).where("k > 0")
@@ -287,7 +292,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         & may(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")),
     )
     near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    near = settle(near.join(stars, ["u", "v"], "left_anti"))
+    near = store(near.join(stars, ["u", "v"], "left_anti"))
+    discard(laid, stars)
     return found.unionByName(similar_pairs(rows, near, share, width))
 
 
