@@ -248,7 +248,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     First every member of a bucket is compared with its least id. What that leaves in another
     component than the least id's is then compared with all members of other components, in
     blocks of ``most_pairs`` rows that are spread over the tasks; so each pair of a bucket is
-    compared, or in one component already.
+    compared, or in one component already. Of these pairs only those are verified whose shared
+    shingles so far, and all that can follow the last of them, reach ``similarity``.
     """
     share = Fraction(str(similarity))
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
@@ -260,6 +261,10 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         """Whether sets of n and m shingles that first meet at places ``at`` and ``to`` can be alike."""
         return F.least(n - at, m - to) * (share.numerator + share.denominator) >= (n + m) * share.numerator
 
+    def beyond(n) -> Column:
+        """Shingles of a set of n under which it is not entered."""
+        return F.ceil(F.col(n) * share.numerator / share.denominator) - 1
+
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     held = store(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
     discard(entered)
@@ -288,10 +293,15 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         & (F.col("a.i") == F.col("b.i"))
         & (F.col("a.j") == F.col("b.j"))
         & (F.col("a.root") != F.col("b.root"))
-        & (~F.col("b.out") | (F.col("a.id") < F.col("b.id")))
-        & may(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")),
+        & (~F.col("b.out") | (F.col("a.id") < F.col("b.id"))),
     )
-    near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    # every key that a pair shares is one row here; what the pair shares beyond its last one is bounded
+    first = F.col("a.id") < F.col("b.id")
+    of = lambda c, swap: F.when(first != swap, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c + "v" * swap)
+    near = near.select(of("id", False), of("id", True), of("n", False), of("n", True), of("at", False), of("at", True))
+    near = near.groupBy(F.col("id").alias("u"), F.col("idv").alias("v"), "n", "nv").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"), F.max("atv").alias("atv"))
+    most = F.col("c") + F.least(F.col("n") - F.col("at") - 1, F.col("nv") - F.col("atv") - 1, F.greatest(beyond("n"), beyond("nv")))
+    near = near.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v")
     near = store(near.join(stars, ["u", "v"], "left_anti"))
     discard(laid, stars)
     return found.unionByName(similar_pairs(rows, near, share, width))
