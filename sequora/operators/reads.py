@@ -106,7 +106,7 @@ def noise_profile(reads: DataFrame, read: str, sequence: str) -> DataFrame:
         F.round(F.avg("n"), 6).alias("mean_length"),
         F.round(F.sum("q") / F.sum("n"), 6).alias("mean_quality"),
         F.count(F.when(mean < 10, 1)).alias("low"),
-        F.count(F.when(mean > 24, 1)).alias("high"),
+        F.count(F.when(mean > 30, 1)).alias("high"),
         F.round(F.pow(F.lit(10.0), -F.sum("q") / F.sum("n") / 10.0), 9).alias("rate_of_mean_q"),
         F.round(F.sum(F.col("n") * F.pow(F.lit(10.0), -mean / 10.0)) / F.sum("n"), 9).alias("mean_of_rates"),
     )

@@ -92,7 +92,7 @@ def triage_buckets(spark, sf):
     "noise_profile",
     f"""WITH e AS (SELECT read, count(*) AS n, sum(q) AS q FROM ({POS}) GROUP BY read)
     SELECT count(*) AS reads, CAST(sum(n) AS BIGINT) AS bases, round(avg(n), 6) AS mean_length, round(sum(q) / sum(n), 6) AS mean_quality,
-    count(*) FILTER (q / n < 10) AS low, count(*) FILTER (q / n > 24) AS high, round(pow(10.0, -sum(q) / sum(n) / 10.0), 9) AS rate_of_mean_q,
+    count(*) FILTER (q / n < 10) AS low, count(*) FILTER (q / n > 30) AS high, round(pow(10.0, -sum(q) / sum(n) / 10.0), 9) AS rate_of_mean_q,
     round(sum(n * pow(10.0, -q / n / 10.0)) / sum(n), 9) AS mean_of_rates FROM e""",
 )
 def noise_profile(spark, sf):

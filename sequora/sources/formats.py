@@ -58,17 +58,24 @@ VCF_FIELDS = "chrom string, pos long, id string, ref string, alt string, qual do
 
 
 def vcf(lines: Iterable[str]) -> Iterator[tuple]:
-    """Variant rows; a missing quality is NaN, a flag in INFO is 'true', rows under 8 fields are skipped."""
+    """Variant rows; a missing quality is NaN, a flag in INFO is 'true'.
+
+    Rows under 8 fields, and rows whose position or quality is no number, are skipped.
+    """
     for line in lines:
         p = line.rstrip("\r\n").split("\t")
         if line.startswith("#") or len(p) < 8:
             continue
+        try:
+            pos, qual = int(p[1]), float("nan") if p[5] == "." else float(p[5])
+        except ValueError:
+            continue
         info = {}
         for item in p[7].split(";"):
             key, eq, value = item.partition("=")
             if key and key != ".":
                 info[key] = value if eq else "true"
-        yield p[0], int(p[1]), p[2], p[3], p[4], float("nan") if p[5] == "." else float(p[5]), p[6], info, p[8].split(":") if len(p) > 8 else [], p[9:]
+        yield p[0], pos, p[2], p[3], p[4], qual, p[6], info, p[8].split(":") if len(p) > 8 else [], p[9:]
 
 
 FAI_FIELDS = "name string, length long, offset long, line_bases int, line_width int"
