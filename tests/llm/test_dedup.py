@@ -226,12 +226,9 @@ def test_crowded_buckets_lose_no_pair(make, prose):
     assert {i: found.get(i, i) for i in range(len(texts))} == want
 
 
-@pytest.mark.parametrize(("letters", "piece"), [("ab", 1 << 16), ("abcd", 64)])
-def test_suffix_short_windows(make, monkeypatch, letters, piece):
-    """Every window of eight bytes against brute force, with runs cut by small pieces."""
-    from sequora.llm import anchors
-
-    monkeypatch.setattr(anchors, "PIECE", piece)
+@pytest.mark.parametrize("letters", ["ab", "abcd"])
+def test_suffix_short_windows(make, letters):
+    """Every window of eight bytes against brute force."""
     rng = random.Random(len(letters))
     texts = ["".join(rng.choices(letters, k=rng.randrange(0, 90))) for _ in range(60)]
     got = rows(suffix.dedup_bytes(make(texts), window=8, gram=4, with_bytes=True))
@@ -243,3 +240,28 @@ def test_suffix_short_windows(make, monkeypatch, letters, piece):
                 gone[p : p + 8] = b"\1" * 8
         assert bytes(got[i]["kept"]).decode() == "".join(c for c, g in zip(t, gone, strict=True) if not g)
         assert got[i]["n_removed"] == sum(gone)
+
+
+def test_runs_hold_every_window_once_at_any_piece(monkeypatch):
+    """Runs of a batch with null, empty, short and long texts; cut or not, each window has the same anchor."""
+    import pyarrow as pa
+
+    from sequora.llm import anchors
+
+    rng = random.Random(3)
+    texts = [None, b"", b"short", *(bytes(rng.choices(b"abcde ", k=rng.randrange(40, 400))) for _ in range(20)), None]
+    column = pa.array([b"before", *texts], pa.binary()).slice(1)
+
+    def windows():
+        found = {}
+        for part in anchors.runs(*anchors.buffer(column), 50, 24):
+            for text, start, at, count, anchor in zip(part.text, part.start, part.at, part.count, part.anchor, strict=True):
+                for j in range(count):
+                    assert (text, start + j) not in found and start + j <= at <= start + j + 26
+                    found[text, start + j] = (at, anchor)
+        return found
+
+    whole = windows()
+    assert set(whole) == {(i, p) for i, t in enumerate(texts) for p in range(len(t or b"") - 49)}
+    monkeypatch.setattr(anchors, "PIECE", 64)
+    assert windows() == whole
