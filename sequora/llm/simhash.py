@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, release, settle, store, text_bytes, word_blocks
+from .common import discard, documents, settle, store, text_bytes, word_blocks
 from .graph import components
 
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
@@ -248,8 +248,9 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     First every member of a bucket is compared with its least id. What that leaves in another
     component than the least id's is then compared with all members of other components, in
     blocks of ``most_pairs`` rows that are spread over the tasks; so each pair of a bucket is
-    compared, or in one component already. Of these pairs only those are verified whose shared
-    shingles so far, and all that can follow the last of them, reach ``similarity``.
+    compared, or in one component already. Two rows of a bucket become a pair only where what
+    follows their places can still reach ``similarity``, and of these pairs only those are
+    verified whose common entries, and all that can follow them, reach it.
     """
     share = Fraction(str(similarity))
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
@@ -261,9 +262,18 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         """Whether sets of n and m shingles that first meet at places ``at`` and ``to`` can be alike."""
         return F.least(n - at, m - to) * (share.numerator + share.denominator) >= (n + m) * share.numerator
 
-    def beyond(n) -> Column:
-        """Shingles of a set of n under which it is not entered."""
-        return F.ceil(F.col(n) * share.numerator / share.denominator) - 1
+    def close(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        """(u, v) of the pairs (u, v, n, nv) whose common entries, and all that one of the two has beyond its own, can make alike."""
+        pairs = store(pairs)
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        keys = among.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+        both = pairs.join(keys.select(F.col("id").alias("u"), F.col("keys").alias("ku")), "u")
+        both = both.join(keys.select(F.col("id").alias("v"), F.col("keys").alias("kv")), "v")
+        beyond = F.ceil(F.greatest("n", "nv") * share.numerator / share.denominator) - 1
+        most = F.size(F.array_intersect("ku", "kv")) + beyond
+        kept = store(both.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v").distinct())
+        discard(pairs)
+        return kept
 
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     held = store(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
@@ -271,8 +281,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     firsts = held.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("first"))
     members = held.join(firsts, "key")
     stars = members.where((F.col("first.id") < F.col("id")) & may(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at")))
-    stars = store(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v")).distinct())
-    release(docs.sparkSession)
+    stars = close(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.n").alias("n"), F.col("n").alias("nv")).distinct(), held)
     found = similar_pairs(rows, stars, share, width)
     roots = components(found).select(F.col("node").alias("id"), "root")
     placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -293,16 +302,19 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         & (F.col("a.i") == F.col("b.i"))
         & (F.col("a.j") == F.col("b.j"))
         & (F.col("a.root") != F.col("b.root"))
-        & (~F.col("b.out") | (F.col("a.id") < F.col("b.id"))),
+        & (~F.col("b.out") | (F.col("a.id") < F.col("b.id")))
+        & may(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")),
     )
-    # every key that a pair shares is one row here; what the pair shares beyond its last one is bounded
+    # The keys that a pair shares are rows here up to the first at which it can no longer be alike
+    # had it shared none before; a pair that fails at its first is gone. Beyond the last row's
+    # places it shares at most what follows them.
     first = F.col("a.id") < F.col("b.id")
     of = lambda c, swap: F.when(first != swap, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c + "v" * swap)
     near = near.select(of("id", False), of("id", True), of("n", False), of("n", True), of("at", False), of("at", True))
     near = near.groupBy(F.col("id").alias("u"), F.col("idv").alias("v"), "n", "nv").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"), F.max("atv").alias("atv"))
-    most = F.col("c") + F.least(F.col("n") - F.col("at") - 1, F.col("nv") - F.col("atv") - 1, F.greatest(beyond("n"), beyond("nv")))
-    near = near.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v")
-    near = store(near.join(stars, ["u", "v"], "left_anti"))
+    most = F.col("c") + F.least(F.col("n") - F.col("at") - 1, F.col("nv") - F.col("atv") - 1)
+    near = near.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v", "n", "nv")
+    near = close(near.join(stars, ["u", "v"], "left_anti"), laid)
     discard(laid, stars)
     return found.unionByName(similar_pairs(rows, near, share, width))
 
