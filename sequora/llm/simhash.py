@@ -262,13 +262,11 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         """Whether sets of n and m shingles that first meet at places ``at`` and ``to`` can be alike."""
         return F.least(n - at, m - to) * (share.numerator + share.denominator) >= (n + m) * share.numerator
 
-    def close(pairs: DataFrame, among: DataFrame) -> DataFrame:
+    def close(pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (u, v, n, nv) whose common entries, and all that one of the two has beyond its own, can make alike."""
         pairs = store(pairs)
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        keys = among.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-        both = pairs.join(keys.select(F.col("id").alias("u"), F.col("keys").alias("ku")), "u")
-        both = both.join(keys.select(F.col("id").alias("v"), F.col("keys").alias("kv")), "v")
+        both = pairs.join(entered.select(F.col("id").alias("u"), F.col("keys").alias("ku")), "u")
+        both = both.join(entered.select(F.col("id").alias("v"), F.col("keys").alias("kv")), "v")
         beyond = F.ceil(F.greatest("n", "nv") * share.numerator / share.denominator) - 1
         most = F.size(F.array_intersect("ku", "kv")) + beyond
         kept = store(both.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v").distinct())
@@ -277,11 +275,10 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
 
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     held = store(entries.join(shared, "key").select("key", "id", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
-    discard(entered)
     firsts = held.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("first"))
     members = held.join(firsts, "key")
     stars = members.where((F.col("first.id") < F.col("id")) & may(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at")))
-    stars = close(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.n").alias("n"), F.col("n").alias("nv")).distinct(), held)
+    stars = close(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.n").alias("n"), F.col("n").alias("nv")).distinct())
     found = similar_pairs(rows, stars, share, width)
     roots = components(found).select(F.col("node").alias("id"), "root")
     placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -314,8 +311,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     near = near.groupBy(F.col("id").alias("u"), F.col("idv").alias("v"), "n", "nv").agg(F.count(F.lit(1)).alias("c"), F.max("at").alias("at"), F.max("atv").alias("atv"))
     most = F.col("c") + F.least(F.col("n") - F.col("at") - 1, F.col("nv") - F.col("atv") - 1)
     near = near.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v", "n", "nv")
-    near = close(near.join(stars, ["u", "v"], "left_anti"), laid)
-    discard(laid, stars)
+    near = close(near.join(stars, ["u", "v"], "left_anti"))
+    discard(laid, stars, entered)
     return found.unionByName(similar_pairs(rows, near, share, width))
 
 
