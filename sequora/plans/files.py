@@ -94,7 +94,11 @@ def orf_scan(spark, sf):
     return T.scan(references(spark, sf), "item_id", "dna", lambda s: T.reading_frames(s, 10), "frame long, start long, stop long, codons long")
 
 
-@query("stream_tumbling")
+@query(
+    "stream_tumbling",
+    """SELECT start, n FROM (SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start, count(*) AS n FROM events GROUP BY 1)
+    WHERE start + 3600 <= (SELECT epoch_us(max(ts)) / 1e6 - 600 FROM events)""",
+)
 def stream_tumbling(spark, sf):
     """Hourly counts of the event stream that the watermark has closed."""
     w = streams.tumbling(streams.event_stream(spark, f"{sf}/events.parquet"))

@@ -75,7 +75,14 @@ def cluster_by_prefix(spark, sf):
     return d.groupBy(F.substring("dna", 1, 16).alias("address")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max(F.length("dna")).cast("long").alias("longest"))
 
 
-@query("crispr_search")
+@query(
+    "crispr_search",
+    f"""WITH r AS (SELECT item_id, {dna_sql('text')} AS dna FROM benchmark),
+    p AS (SELECT item_id, "at", substr(dna, "at", 23) AS w FROM (SELECT item_id, dna, CAST(unnest(range(1, length(dna) - 21)) AS INT) AS "at" FROM r)),
+    h AS (SELECT g.item_id AS guide, p.item_id, p."at", list_filter(range(1, 21), lambda k: w[k] <> g.dna[k]) AS differ
+      FROM r g, p WHERE length(g.dna) >= 20 AND regexp_full_match(w, '[ACGT]{{21}}GG'))
+    SELECT guide, item_id, "at", CAST(len(differ) AS INT) AS mismatches, CAST(len(differ) + 0.5 * len(list_filter(differ, lambda k: k > 8)) AS DOUBLE) AS penalty FROM h WHERE len(differ) <= 2""",
+)
 def crispr_search(spark, sf):
     """Guides (first 20 bases of each reference) in every reference, two mismatches at most, before NGG."""
     refs = references(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models as M
-from .base import query
+from .base import dna_sql, query
 
 
 def _values(spark, rows, schema):
@@ -67,7 +67,17 @@ def rsd_cdf(spark, sf):
     return M.robust_soliton(spark, 1000).select("degree", F.round("p", 9).alias("p"), F.round("cdf", 9).alias("cdf"))
 
 
-@query("melting_points")
+@query(
+    "melting_points",
+    f"""WITH nn AS (SELECT * FROM (VALUES {', '.join(f"('{d}', {h}, {s})" for d, (h, s) in M.NEIGHBOURS.items())}) AS t(d, h, s)),
+    p AS (SELECT item_id, substr({dna_sql('text')}, 1, 24) AS primer FROM benchmark),
+    e AS (SELECT item_id, primer, CAST(primer[1] IN ('G', 'C') AS INT) + CAST(primer[24] IN ('G', 'C') AS INT) AS gc,
+      primer = reverse(translate(primer, 'ACGT', 'TGCA')) AS own FROM p WHERE length(primer) = 24),
+    x AS (SELECT item_id, primer, gc, own, sum(CAST(h AS DOUBLE)) AS h, sum(CAST(s AS DOUBLE)) AS s
+      FROM (SELECT *, unnest(range(1, 24)) AS k FROM e) JOIN nn ON d = substr(primer, k, 2) GROUP BY ALL)
+    SELECT item_id, primer, round((h + 0.1 * gc + 2.3 * (2 - gc)) * 1000 / (s - 2.8 * gc + 4.1 * (2 - gc) + 1.987 * ln(CASE WHEN own THEN 0.25e-6 ELSE 0.25e-6 / 4 END))
+      - 273.15 + 16.6 * log10(0.05), 4) AS celsius FROM x""",
+)
 def melting_points(spark, sf):
     """Nearest-neighbour melting point of the first 24 bases of each reference (its primer)."""
     from ..functions import sequence as S

@@ -152,7 +152,13 @@ def input_type(spark, sf):
     return x.where("t is not null").groupBy(S.input_kind("t").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("seq_hamming_neighbours", None)
+@query(
+    "seq_hamming_neighbours",
+    f"""SELECT item_id, i, CAST(len(list_filter(range(1, least(length(s), length(n)) + 1), lambda k: s[k] <> n[k])) + abs(length(s) - length(n)) AS INT) AS distance
+    FROM (SELECT item_id, i, s, lead(s) OVER (PARTITION BY item_id ORDER BY i) AS n
+      FROM (SELECT item_id, CAST(unnest(range(len(c))) AS INT) AS i, unnest(c) AS s FROM (SELECT item_id, regexp_extract_all({dna_sql('text')}, '.{{1,64}}') AS c FROM benchmark)))
+    WHERE n IS NOT NULL""",
+)
 def seq_hamming_neighbours(spark, sf):
     """Distance between each strand of a benchmark text and the next one."""
     b = table(spark, sf, "benchmark").select("item_id", F.posexplode(S.chunks(S.bytes_to_dna("text"), 64)).alias("i", "s"))
