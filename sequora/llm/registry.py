@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, merkle, mixing, packing, quality, simhash, substring, suffix, toxicity
+from . import divergence, exact_dedup, langid, manifest, merkle, minhash, mixing, packing, quality, simhash, substring, suffix, toxicity
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_langid": langid.op9_langid,
     "op10_merkle": merkle.op10_merkle,
+    "op11_manifest": manifest.op11_manifest,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_minhash": minhash.op13_minhash,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_manifest": manifest.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
