@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..session import settled
 
 
 def index(df: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
@@ -47,26 +46,19 @@ def leader_clusters(df: DataFrame, key: str, sequence: str, k: int = 8, share: f
     """
     sizes = index(df, key, sequence, k).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     fits = pairs(df, key, sequence, k).join(sizes.select(F.col(key).alias("a"), "n"), "a").where(F.col("shared") >= share * F.col("n")).select("a", "b")
-    fits = _settle(fits)
-    state = _settle(df.select(F.col(key).alias("b"), F.lit(None).cast("long").alias("leader")))
+    fits = settled(fits)
+    state = settled(df.select(F.col(key).alias("b"), F.lit(None).cast("long").alias("leader")))
     for _ in range(most_rounds):
         earlier = fits.join(state.select(F.col("b").alias("a"), F.col("leader").alias("of_a")), "a")
         seen = earlier.groupBy("b").agg(F.count(F.when(F.col("of_a").isNull(), 1)).alias("open"), F.min(F.when(F.col("of_a") == F.col("a"), F.col("a"))).alias("lead"))
         moved = state.join(seen, "b", "left")
         decided = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("lead", "b"))
-        state = _settle(moved.select("b", decided.alias("leader")))
+        state = settled(moved.select("b", decided.alias("leader")))
         if state.where("leader is null").isEmpty():
             return state.select(F.col("b").alias(key), "leader")
     raise RuntimeError("leader clusters did not settle")
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequora-"))
-    return df.checkpoint()
-
-
 def guided_search(guides: DataFrame, df: DataFrame, key: str, sequence: str, most: int = 2) -> DataFrame:
     """Places where a 20-base guide fits before an NGG: mismatches weigh 1, in the last 12 bases 1.5.
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import archive, codecs, consensus, decode, files, kmers, models, reads, relational, sequences  # noqa: F401
+from . import addresses, archive, codecs, consensus, decode, files, kmers, models, reads, relational, sequences  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

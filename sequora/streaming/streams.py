@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder (a temporary one where none is set)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sequora-")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    """A fresh folder under the shared checkpoint folder (see ``session.shared_folder``)."""
+    return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
