@@ -27,23 +27,25 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, discard, documents, store
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms; a term is a match of ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+``.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 
 
 def term_counts(docs: DataFrame, columns: tuple[str, str, str] = ("text", "lang", "source")) -> DataFrame:
     """(lang, source, term, n occurrences, df documents)."""
     text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in columns)
-    terms = F.regexp_extract_all(ascii_lower(text), F.lit(f"({TERM})"), F.lit(1))
+    terms = F.split(ascii_lower(text), BETWEEN)  # the same matches as by extraction, in half the time, and empty ends
     rows = docs.select(lang.alias("lang"), source.alias("source"), terms.alias("terms"))
     both = rows.select("lang", "source", F.posexplode(F.array(F.array_distinct("terms"), "terms")).alias("kind", "terms"))
-    each = both.select("lang", "source", "kind", F.explode("terms").alias("term"))
+    each = both.select("lang", "source", "kind", F.explode("terms").alias("term")).where("term <> ''")
     return each.groupBy("lang", "source", "term").agg(F.sum(F.col("kind").cast("long")).alias("n"), F.sum((1 - F.col("kind")).cast("long")).alias("df"))
 
 
 def share(count: str, total: str, kept: str) -> Column:
-    """1 + floor(10**9 * (count + 1) / (total + kept)), exact beyond 64 bits."""
-    return F.expr(f"1 + (cast({count} + 1 as decimal(20,0)) * {UNIT}) div cast({total} + {kept} as decimal(20,0))")
+    """1 + floor(10**9 * (count + 1) / (total + kept)): in longs while they hold it, else in decimals; exact in both."""
+    wide = f"(cast({count} + 1 as decimal(20,0)) * {UNIT}) div cast({total} + {kept} as decimal(20,0))"
+    return F.expr(f"1 + if({count} < {2**63 // UNIT - 1}, (({count} + 1) * {UNIT}L) div ({total} + {kept}), {wide})")
 
 
 def divergence(p: str, q: str) -> Column:
@@ -66,19 +68,22 @@ def audit(docs: DataFrame, least_documents: int = 3, most_terms: int = 200, salt
     sums = used.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     langs = kept.groupBy("lang").agg(F.sum("total").alias("whole"), F.count(F.lit(1)).alias("size"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    groups = store(groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("own"), zero("whole"), zero("size")))
+    groups = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = store(groups.select("lang", "source", zero("own"), zero("whole"), zero("size"), F.monotonically_increasing_id().alias("g")))
 
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
     dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     cells = salted.join(dealt, ["lang", "salt"]).join(used, ["lang", "source", "term"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    dense = store(cells.select("lang", "term", "source", "n", share("n", "own", "size").alias("p"), share("total", "whole", "size").alias("q")))
-
-    a = dense.select("lang", "term", F.col("source").alias("source"), "p")
-    b = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    between = a.join(b, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(F.sum(divergence("p", "q")).alias("value"))
-    pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = pairs.join(between, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    terms = dense.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
+    dense = store(cells.select("lang", "term", "g", "n", share("n", "own", "size").alias("p"), share("total", "whole", "size").alias("q")))
+
+    a = dense.select("lang", "term", F.col("g").alias("a"), F.col("p").alias("pa"))
+    b = dense.select("lang", "term", F.col("g").alias("b"), F.col("p").alias("pb"))
+    between = a.join(b, ["lang", "term"]).where("a < b").groupBy("a", "b").agg(F.sum(divergence("pa", "pb")).alias("ab"), F.sum(divergence("pb", "pa")).alias("ba"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("other"), F.col("ab").alias("value")), F.struct(F.col("b").alias("g"), F.col("a").alias("other"), F.col("ba").alias("value"))))
+    between = between.select(ways.alias("w")).select("w.g", "w.other", "w.value")
+    pairs = groups.select("lang", "source", "g").join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("other")), "lang").where("g <> other")
+    pairs = pairs.join(between, ["g", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    terms = dense.where("n > 0 and p > q").join(groups.select("g", "source"), "g").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
     parts = [_ranked(pairs).withColumn("part", F.lit("pair")), _ranked(terms).where(F.col("rank") <= most_terms).withColumn("part", F.lit("term"))]
     out = store(parts[0].unionByName(parts[1]).select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank")))
     discard(counts, kept, used, groups, dense)
