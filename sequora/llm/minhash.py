@@ -12,9 +12,10 @@ with a chance of 2 * 10**-8; that is the only way to lose a link, at any number
 
 Copies are folded into one distinct set first. Each bucket's members are compared with its
 least id; those that this leaves in another component than the least id's are compared with
-all members of other components, in blocks of at most ``block`` rows that are spread over the
-tasks, where a pair becomes a row only if sizes and sketches pass, and only in the first band
-that it shares. Nothing is capped; pairs within one component are implied.
+all members of other components, in blocks of about ``block`` rows that are spread over the
+tasks, where a pair becomes a row only if sizes and sketches pass, only if a shingle of both
+sets' rare ends is the same, as it must be, and only in the first band that it shares. Nothing
+is capped; pairs within one component are implied.
 
 Defined cases: a set of fewer words is the whole sequence as one shingle; null, empty and blank
 texts have no shingle and are linked with nothing; ties and repeated rows share a component;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Powers, discard, documents, mix64, rolling, span_hashes, store, text_bytes, word_spans
 from .graph import components
-from .simhash import similar_pairs
+from .simhash import frequent_shingles, marks, shingle_sets, similar_pairs
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -171,6 +172,27 @@ def _passes(share: Fraction, bound: int, a: str, b: str) -> Column:
     return (F.least(n, m) * share.denominator >= F.greatest(n, m) * share.numerator) & (ones <= bound)
 
 
+def prefixes(texts: DataFrame, ids: DataFrame, share: Fraction, width: int) -> DataFrame:
+    """(id, prefix): of the ``ids``, the first n - ceil(share * n) + 1 of n shingles in one order of all shingles.
+
+    Sets that are ``share`` alike have one of these in common. Shingles frequent in a sample
+    come last, which decides how much this prunes and nothing else.
+    """
+    common = frequent_shingles(texts, width)
+    order = np.argsort(common)
+    known, late = common[order], order + 1
+    up, down = share.numerator, share.denominator
+
+    def first(hashes: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(hashes), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            rank = np.where(known[at] == hashes, late[at], 0)
+        return hashes[np.lexsort((hashes, rank))][: len(hashes) + up * len(hashes) // -down + 1]
+
+    return shingle_sets(texts, width, first, marks(ids)).select("id", F.col("keys").alias("prefix"))
+
+
 def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int, width: int, block: int, id_column: str, text_column: str) -> DataFrame:
     """(u, v) links whose components are those of all pairs of ``sets`` (id, n, sketch, bands) that are ``share`` alike."""
     texts = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
@@ -189,10 +211,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int,
     placed = store(placed.join(mains, "key").select("key", "id", "first", "root", (F.col("root") != F.col("main")).alias("out")))
     parts = lambda c: F.ceil(F.col(c) / block)
     split = placed.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("k"), F.count(F.lit(1)).alias("c")).where("k > 0 and c > 2")
-    open_ = placed.join(split.select("key", parts("k").alias("i"), parts("c").alias("j")), "key").join(sets, "id")
+    open_ = store(placed.join(split.select("key", parts("k").alias("i"), parts("c").alias("j")), "key"))
+    heads = store(prefixes(texts, open_.select("id"), share, width))
+    scraps, open_ = [open_, heads], open_.join(sets, "id").join(heads, "id")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).alias(c)
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(c)
-    kept = ["key", "id", "first", "root", "out", "n", *_SKETCH, "bands"]
+    kept = ["key", "id", "first", "root", "out", "n", *_SKETCH, "bands", "prefix"]
     a = open_.where("out").select(*kept, own("i"), every("j")).alias("a")
     b = open_.select(*kept, every("i"), own("j")).alias("b")
     once = F.col("a.key") == F.element_at(F.array_intersect("a.bands", "b.bands"), 1)  # keys hold the band's number
@@ -204,12 +228,13 @@ def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int,
         & (F.col("a.root") != F.col("b.root"))
         & (~F.col("b.out") | (F.col("a.id") < F.col("b.id")))
         & _passes(share, bound, "a", "b")
+        & F.arrays_overlap("a.prefix", "b.prefix")
         & once,
     )
     near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
     near = store(near.join(stars, ["u", "v"], "left_anti"))
     links = store(found.unionByName(similar_pairs(texts, near, share, width)))
-    discard(held, placed, stars, near, found)
+    discard(held, placed, stars, near, found, *scraps)
     return links
 
 
