@@ -111,11 +111,58 @@ def bgzf_blocks(data: bytes) -> bytes:
 
 
 _SEQ, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+#: Struct letters of the number types of optional fields.
 _TAGS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
+_LETTERS = str.maketrans("0123456789abcdef", _SEQ)
+_CODES = str.maketrans(_SEQ, "0123456789abcdef")
+
+
+def _bam_tags(data: bytes, p: int, end: int) -> Iterator[str]:
+    """Optional fields as SAM writes them; those after one that breaks off or is unknown are left out."""
+    while p + 3 <= end:
+        tag, kind = data[p : p + 2].decode("latin-1"), chr(data[p + 2])
+        p += 3
+        size = struct.calcsize("<" + _TAGS[kind]) if kind in _TAGS else 0
+        if size and p + size <= end:
+            value = struct.unpack_from("<" + _TAGS[kind], data, p)[0]
+            yield f"{tag}:{'i' if kind in 'cCsSiI' else kind}:{value.decode('latin-1') if isinstance(value, bytes) else value}"
+            p += size
+        elif kind in "ZH" and 0 <= (stop := data.find(0, p, end)):
+            yield f"{tag}:{kind}:{data[p:stop].decode('latin-1')}"
+            p = stop + 1
+        elif kind == "B" and p + 5 <= end and chr(data[p]) in _TAGS:
+            part, n = _TAGS[chr(data[p])], struct.unpack_from("<i", data, p + 1)[0]
+            size = struct.calcsize("<" + part) * n
+            if n < 0 or p + 5 + size > end:
+                return
+            yield ",".join([f"{tag}:B:{chr(data[p])}", *map(str, struct.unpack_from(f"<{n}{part}", data, p + 5))])
+            p += 5 + size
+        else:
+            return
+
+
+def bam_record(data: bytes, at: int, end: int, names: list[str]) -> tuple:
+    """The row of the record in data[at:end], as one of SAM."""
+    name_of = lambda i: names[i] if 0 <= i < len(names) else "*"
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+    p = at + 36
+    name = data[p : p + n_name - 1].decode("latin-1")
+    p += n_name
+    ops = struct.unpack_from(f"<{n_cigar}I", data, p)
+    p += 4 * n_cigar
+    seq = data[p : p + (n_seq + 1) // 2].hex().translate(_LETTERS)[:n_seq]
+    p += (n_seq + 1) // 2
+    qual = bytes(q + 33 & 255 for q in data[p : p + n_seq]).decode("latin-1") if n_seq and data[p] != 255 else "*"
+    tags = list(_bam_tags(data, p + n_seq, end))
+    cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
+    mate = "=" if next_ref == ref and next_ref >= 0 else name_of(next_ref)
+    return name, flag, name_of(ref), pos + 1, mapq, cigar, mate, next_pos + 1, tlen, seq or "*", qual, tags
+
+
 def bam(data: bytes) -> Iterator[tuple]:
-    """The rows of a BAM file, as those of SAM (positions from 1); arrays end the optional tags."""
+    """The rows of a BAM file, as those of SAM (positions from 1); a record that breaks off ends them."""
     data = bgzf_blocks(data)
     if data[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
@@ -125,55 +172,34 @@ def bam(data: bytes) -> Iterator[tuple]:
         n = struct.unpack_from("<i", data, at)[0]
         names.append(data[at + 4 : at + 3 + n].decode())
         at += 8 + n
-    name_of = lambda i: names[i] if 0 <= i < len(names) else "*"
     while at + 4 <= len(data):
-        size = struct.unpack_from("<i", data, at)[0]
-        end = at + 4 + size
+        end = at + 4 + struct.unpack_from("<i", data, at)[0]
         if end > len(data):
             return
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p = at + 36
-        name = data[p : p + n_name - 1].decode()
-        p += n_name
-        ops = struct.unpack_from(f"<{n_cigar}I", data, p)
-        p += 4 * n_cigar
-        packed = data[p : p + (n_seq + 1) // 2]
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:n_seq]
-        p += (n_seq + 1) // 2
-        qual = "".join(chr(q + 33) for q in data[p : p + n_seq]) if n_seq and data[p] != 255 else "*"
-        p += n_seq
-        tags = []
-        while p + 3 <= end:
-            tag, kind = data[p : p + 2].decode(), chr(data[p + 2])
-            p += 3
-            if kind in _TAGS:
-                value = struct.unpack_from("<" + _TAGS[kind], data, p)[0]
-                p += struct.calcsize(_TAGS[kind])
-                value = value.decode() if isinstance(value, bytes) else value
-            elif kind in "ZH":
-                stop = data.index(0, p)
-                value, p = data[p:stop].decode(), stop + 1
-            else:
-                break
-            tags.append(f"{tag}:{'i' if kind in 'cCsSiI' else kind}:{value}")
-        cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
-        mate = "=" if next_ref == ref and next_ref >= 0 else name_of(next_ref)
-        yield name, flag, name_of(ref), pos + 1, mapq, cigar, mate, next_pos + 1, tlen, seq or "*", qual, tags
+        yield bam_record(data, at, end, names)
         at = end
 
 
-def bam_bytes(references: list[tuple[str, int]], rows: list[tuple[str, int, int, int, str, str]]) -> bytes:
-    """A small BAM: rows of (name, flag, reference number, position from 0, sequence, quality)."""
+def bam_head(references: list[tuple[str, int]]) -> bytes:
     out = [b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(references))]
-    for name, length in references:
-        out.append(struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length))
-    for name, flag, ref, pos, seq, qual in rows:
-        codes = [_SEQ.index(c) for c in seq] + [0]
-        packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 60, 4680, 1, flag, len(seq), -1, -1, 0)
-        body += name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + bytes(ord(q) - 33 for q in qual)
-        out.append(struct.pack("<i", len(body)) + body)
-    return zlib.compress(b"".join(out), wbits=31)
+    named = [(name.encode() + b"\0", length) for name, length in references]
+    out += [struct.pack("<i", len(name)) + name + struct.pack("<i", length) for name, length in named]
+    return b"".join(out)
+
+
+def bam_row(name: str, flag: int, ref: int, pos: int, seq: str, qual: str | None) -> bytes:
+    """A record that matches whole at ``pos`` (from 0) of reference number ``ref``; no quality is 255 a base."""
+    packed = bytes.fromhex(seq.translate(_CODES) + "0" * (len(seq) % 2))
+    label = name.encode() + b"\0"
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(label), 60, 4680, 1, flag, len(seq), -1, -1, 0)
+    body += label + struct.pack("<I", len(seq) << 4) + packed
+    body += b"\xff" * len(seq) if qual is None else bytes(ord(q) - 33 for q in qual)
+    return struct.pack("<i", len(body)) + body
+
+
+def bam_bytes(references: list[tuple[str, int]], rows: list[tuple[str, int, int, int, str, str]]) -> bytes:
+    """A small BAM in one gzip member: rows of (name, flag, reference number, position from 0, sequence, quality)."""
+    return zlib.compress(bam_head(references) + b"".join(bam_row(*row) for row in rows), wbits=31)
 
 
 SQAR_MAGIC = b"SQAR"

@@ -1,20 +1,22 @@
 """Sequence files as DataFrames: spark.read.format("fastq" | "fasta" | "sam" | "vcf" | "fai" | "bam" | "sqar").
 
 Files are found and opened by Spark's own binary reader in ``read_files``, so any store that
-Spark can read works and each file is a task. The ``DataSource`` classes serve the short
-names over local or mounted paths, a partition a file.
+Spark can read works and each file is a task. The ``DataSource`` classes serve the short names
+over local paths and any store that pyarrow reaches. FASTQ and BAM are read by byte ranges of
+at most ``splitBytes``, so one file is many tasks; the others are a partition a file.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from . import blocks as B
 from . import formats as X
+from . import splits
+from . import tabix
 
 
 def _text(parse: Callable) -> Callable[[bytes], Iterator[tuple]]:
@@ -53,51 +55,80 @@ def read_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return parse_column(spark.read.format("binaryFile").load(path), "content", kind)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int, header: tuple | None = None):
+        self.path, self.start, self.stop, self.header = path, start, stop, header
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, kind: str, path: str):
-        self.kind, self.path = kind, path
+    def __init__(self, kind: str, path: str, most: int):
+        self.kind, self.path, self.most = kind, path, most
 
     def partitions(self):
-        path = self.path.removeprefix("file://")
-        found = sorted(glob.glob(os.path.join(path, "*") if os.path.isdir(path) else path))
-        return [_File(p) for p in found if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))]
+        out = []
+        for path, size in B.listed(self.path):
+            cuts, header = [(0, size)], None
+            with B.opened(path) as f:
+                head = f.read(300)
+                if self.kind == "bam" and B.block_size(head):
+                    header = splits.bam_header(f)
+                    cuts = B.ranges(size, self.most)
+                elif self.kind == "fastq" and (B.block_size(head) or head[:2] != b"\x1f\x8b"):
+                    cuts = B.ranges(size, self.most)
+            out += [_Range(path, a, b, header) for a, b in cuts]
+        return out
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from FORMATS[self.kind][1](f.read())
+        with B.opened(partition.path) as f:
+            if partition.header:
+                yield from splits.bam_range(f, partition.start, partition.stop, partition.header)
+            elif self.kind == "fastq":
+                yield from splits.fastq_range(f, partition.start, partition.stop)
+            else:
+                yield from FORMATS[self.kind][1](f.read())
 
 
 class _Writer(DataSourceWriter):
-    """One file a task, named by the task's attempt; a failed job's files are removed."""
+    """One file a task, named by the task's attempt; a failed job's files are removed.
 
-    def __init__(self, kind: str, path: str, overwrite: bool):
-        self.kind, self.path = kind, path.removeprefix("file://")
+    BAM is written in blocks, a row (qname, rname, pos, seq, qual) a record that matches whole;
+    ``references`` is its header as "name:length,...".
+    """
+
+    def __init__(self, kind: str, path: str, overwrite: bool, references: str = ""):
+        self.kind, self.path = kind, path.rstrip("/")
+        self.references = [(n, int(size)) for n, _, size in (r.rpartition(":") for r in references.split(",") if r)]
         if overwrite:
-            for old in glob.glob(os.path.join(self.path, f"part-*.{kind}")):
-                os.remove(old)
+            for old, _ in B.listed(self.path):
+                if old.rpartition("/")[2].startswith("part-") and old.endswith(f".{kind}"):
+                    B.removed(old)
+
+    def _record(self, row) -> bytes:
+        if self.kind == "fastq":
+            return X.fastq_text(row[0], row[1], list(row[2])).encode()
+        if self.kind == "fasta":
+            return f">{row[0]}\n{row[1]}\n".encode()
+        name, ref, pos, seq, qual = row
+        return X.bam_row(name, 0, [n for n, _ in self.references].index(ref), pos - 1, seq, qual)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
-        context = TaskContext.get()
-        name = os.path.join(self.path, f"part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}")
-        with open(name, "w") as f:
-            for row in iterator:
-                f.write(X.fastq_text(row[0], row[1], list(row[2])) if self.kind == "fastq" else f">{row[0]}\n{row[1]}\n")
-        message = WriterCommitMessage()
-        message.name = name
+        context, message = TaskContext.get(), WriterCommitMessage()
+        message.name = f"{self.path}/part-{context.partitionId():05d}-{context.taskAttemptId()}.{self.kind}"
+        out = B.created(message.name)
+        if self.kind == "bam":
+            out = B.BgzfWriter(out)
+            out.write(X.bam_head(self.references))
+        for row in iterator:
+            out.write(self._record(row))
+        out.close()
         return message
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and os.path.exists(m.name):
-                os.remove(m.name)
+            if m is not None:
+                B.removed(m.name)
 
 
 def _source(kind: str) -> type[DataSource]:
@@ -110,12 +141,12 @@ def _source(kind: str) -> type[DataSource]:
             return FORMATS[kind][0]
 
         def reader(self, schema):
-            return _Reader(kind, self.options["path"])
+            return _Reader(kind, self.options["path"], int(self.options.get("splitBytes", 64 << 20)))
 
         def writer(self, schema, overwrite):
-            if kind not in ("fastq", "fasta"):
+            if kind not in ("fastq", "fasta", "bam"):
                 raise NotImplementedError(f"{kind} is read only")
-            return _Writer(kind, self.options["path"], overwrite)
+            return _Writer(kind, self.options["path"], overwrite, self.options.get("references", ""))
 
     Source.__name__ = f"{kind.title()}Source"
     return Source
@@ -124,3 +155,4 @@ def _source(kind: str) -> type[DataSource]:
 def register(spark: SparkSession) -> None:
     for kind in FORMATS:
         spark.dataSource.register(_source(kind))
+    tabix.register(spark)
