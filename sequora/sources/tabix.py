@@ -26,6 +26,7 @@ from .formats import bgzf_blocks
 SCHEMA = "chrom string, start long, end long, fields array<string>"
 LONGEST = 1 << 29
 WINDOW = 14
+BINS = ((1 << 18) - 1) // 7
 #: Fixed values of the index format: its magic, the flag for positions from 0, and the VCF layout.
 TBI, FROM_ZERO, VCF = b"TBI\1", 0x10000, 2
 _LAST = 1 << 63  # a virtual offset past any file
@@ -87,7 +88,7 @@ class Index:
             for _ in range(numbers("i")[0]):
                 which, n = numbers("Ii")
                 places = numbers(f"{2 * n}Q")
-                if which <= max(bins(0, LONGEST)):  # what follows the last bin holds counts, not places
+                if which < BINS:  # what follows the last bin holds counts, not places
                     here.chunks[which] += list(zip(places[::2], places[1::2], strict=True))
             here.floors = list(numbers(f"{numbers('i')[0]}Q"))
         return index
@@ -187,8 +188,7 @@ class Region:
 class Part(InputPartition):
     path: str
     index: Index  # without its references
-    begins: int
-    ends: int
+    ranges: list[tuple[int, int]]
 
     def __post_init__(self):
         super().__init__(self.path)
@@ -214,40 +214,49 @@ class TabixReader(DataSourceReader):
                 found = sorted(r for n in names for r in index.ranges(n, self.region.start, self.region.end))
             known = index.places()
             light = Index(index.columns, index.layout, index.comment, index.skip)
+            held: list[tuple[int, int]] = []
             for begins, ends in found:
                 while True:  # long ranges are cut where a line is known to begin
                     at = bisect_left(known, begins + (self.most << 16))
                     if at == len(known) or known[at] >= ends:
                         break
-                    out.append(Part(path, light, begins, known[at]))
+                    out.append(Part(path, light, [(begins, known[at])]))
                     begins = known[at]
-                out.append(Part(path, light, begins, ends))
+                if held and (ends >> 16) - (held[0][0] >> 16) >= self.most:  # and short ones share a task
+                    out.append(Part(path, light, held))
+                    held = []
+                held.append((begins, ends))
+            if held:
+                out.append(Part(path, light, held))
         return out
 
     def read(self, partition: Part | None) -> Iterator[tuple]:
         if partition is None:  # what Spark asks for where nothing is left to read
             return
         with B.opened(partition.path) as file:
-            content = B.Inflated(file, partition.begins >> 16)
-            place = seen = partition.begins & 0xFFFF
-            while True:
-                end = content.data.find(b"\n", seen - content.base) if seen >= content.base else -1
-                if end < 0:
-                    seen = max(seen, content.base + len(content.data))
-                    if content.more():
-                        seen = max(place, seen)
-                        continue
-                    end = seen - content.base
-                    if seen <= place:
-                        return
-                end += content.base
-                if (content.block_of(place) << 16 | place - content.marks[0][0]) >= partition.ends:
+            for begins, ends in partition.ranges:
+                yield from self._lines(file, partition.index, begins, ends)
+
+    def _lines(self, file, index: Index, begins: int, ends: int) -> Iterator[tuple]:
+        content = B.Inflated(file, begins >> 16)
+        place = seen = begins & 0xFFFF
+        while True:
+            end = content.data.find(b"\n", seen - content.base) if seen >= content.base else -1
+            if end < 0:
+                seen = max(seen, content.base + len(content.data))
+                if content.more():
+                    continue
+                end = seen - content.base
+                if seen <= place:
                     return
-                row = partition.index.row(content.bytes(place, end - place).decode("utf-8", "replace").removesuffix("\r"))
-                if row and self.region.holds(*row[:3]):
-                    yield row
-                place = seen = end + 1
-                content.forget(place)
+            end += content.base
+            if (content.block_of(place) << 16 | place - content.marks[0][0]) >= ends:
+                return
+            row = index.row(content.bytes(place, end - place).decode("utf-8", "replace").removesuffix("\r"))
+            if row and self.region.holds(*row[:3]):
+                yield row
+            place = seen = end + 1
+            content.forget(place)
 
 
 class TabixWriter(DataSourceWriter):

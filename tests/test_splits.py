@@ -154,7 +154,7 @@ def test_region_scan_equals_full_scan(tmp_path, most):
         parts = reader.partitions()
         got = [r for p in parts for r in reader.read(p)]
         assert sorted(got) == sorted((c, s, e, [c, str(s), str(e), *f]) for c, s, e, f in rows if chrom in (None, c) and s < end and e > start)
-        bytes_read[chrom, start, end] = sum(min(p.ends >> 16, len(data.getvalue())) - (p.begins >> 16) for p in parts)
+        bytes_read[chrom, start, end] = sum(min(e >> 16, len(data.getvalue())) - (b >> 16) for p in parts for b, e in p.ranges)
     whole = bytes_read[REGIONS[0]]
     assert bytes_read["1", 0, 100] < whole / 10 and bytes_read["chr2", 100_000, 3_000_000] < whole / 3 and not bytes_read["Y", 0, 99]
 
@@ -165,7 +165,7 @@ def test_bins():
         for other in [(start, start + 1), (max(0, start - 5), end), (end - 1, end + 9)]:
             if other[0] < end and other[1] > start:
                 assert tabix.bin_of(start, end) in set(tabix.bins(*other))
-    assert tabix.bin_of(0, 1) == 4681 and tabix.bin_of(16383, 16385) == 585 and len(set(tabix.bins(0, tabix.LONGEST))) == 37449
+    assert tabix.bin_of(0, 1) == 4681 and tabix.bin_of(16383, 16385) == 585 and set(tabix.bins(0, tabix.LONGEST)) == set(range(tabix.BINS))
 
 
 def test_pushed_filters_in_spark(spark, tmp_path):
