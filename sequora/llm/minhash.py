@@ -11,7 +11,7 @@ Jaccard similarity of their full sets. With 56 bands of 8 samples a pair of 0.85
 with a chance of 2 * 10**-8; that is the only way to lose a link, at any number of documents.
 
 Copies are folded into one distinct set first. Each bucket's members are compared with its
-least id; those that this leaves in another component than the least id's are compared with
+least id, a few bands at a time, unless they are in one component already; those that this leaves in another component than the least id's are compared with
 all members of other components, in blocks of about ``block`` rows that are spread over the
 tasks, where a pair becomes a row only if sizes and sketches pass, only if a shingle of both
 sets' rare ends is the same, as it must be, and only in the first band that it shares. Nothing
@@ -193,27 +193,45 @@ def prefixes(texts: DataFrame, ids: DataFrame, share: Fraction, width: int) -> D
     return shingle_sets(texts, width, first, marks(ids)).select("id", F.col("keys").alias("prefix"))
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int, width: int, block: int, id_column: str, text_column: str) -> DataFrame:
-    """(u, v) links whose components are those of all pairs of ``sets`` (id, n, sketch, bands) that are ``share`` alike."""
+def _apart(held: DataFrame, roots: DataFrame, mark: bool = False) -> DataFrame:
+    """``held`` (.., id, first) with root: rows in another component than their bucket's first, or all, marked ``out``."""
+    own = held.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    both = own.join(roots.select(F.col("id").alias("first"), F.col("root").alias("main")), "first", "left")
+    out = F.col("root") != F.coalesce("main", "first")
+    return both.withColumn("out", out).drop("main") if mark else both.where(out)
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int, width: int, block: int, id_column: str, text_column: str, rounds: tuple[int, ...] = (0, 4, 16)) -> DataFrame:
+    """(u, v) links whose components are those of all pairs of ``sets`` (id, n, sketch, bands) that are ``share`` alike.
+
+    Bands are taken in ``rounds``: what the first few have brought into one component is not
+    compared with the firsts of the others' buckets again.
+    """
     texts = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_bytes(text_column).alias("t"))
-    entries = sets.select("id", F.explode("bands").alias("key"))
+    entries = sets.select("id", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = store(entries.join(shared, "key"))
+    held = store(entries.join(shared.select("key", "first"), "key"))
     light = sets.select("id", "n", *_SKETCH)
-    stars = held.where("first < id").select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
-    both = stars.join(light.alias("a"), F.col("u") == F.col("a.id")).join(light.alias("b"), F.col("v") == F.col("b.id"))
-    stars = store(both.where(_passes(share, bound, "a", "b")).select("u", "v"))
-    found = similar_pairs(texts, stars, share, width)
-
-    roots = components(found).select(F.col("node").alias("id"), "root")
-    placed = held.join(roots, "id", "left").select("key", "id", "first", F.coalesce("root", "id").alias("root"))
-    mains = placed.where("id = first").select("key", F.col("root").alias("main")).distinct()
-    placed = store(placed.join(mains, "key").select("key", "id", "first", "root", (F.col("root") != F.col("main")).alias("out")))
+    found, tested, scraps = None, None, []
+    roots = sets.select("id", F.col("id").alias("root")).limit(0)
+    for low, high in zip(rounds, [*rounds[1:], None], strict=True):
+        some = held.where((F.col("band") >= low) & (F.col("band") < high)) if high else held.where(F.col("band") >= low)
+        stars = _apart(some.where("first < id"), roots).select(F.col("first").alias("u"), F.col("id").alias("v")).distinct()
+        if tested is not None:
+            stars = stars.join(tested, ["u", "v"], "left_anti")
+        both = stars.join(light.alias("a"), F.col("u") == F.col("a.id")).join(light.alias("b"), (F.col("v") == F.col("b.id")) & _passes(share, bound, "a", "b"))
+        stars = store(both.select("u", "v"))
+        links = similar_pairs(texts, stars, share, width)
+        scraps += [stars, links]
+        tested = stars if tested is None else tested.unionByName(stars)
+        found = links if found is None else found.unionByName(links)
+        roots = components(found).select(F.col("node").alias("id"), "root")
+    placed = store(_apart(held, roots, True))
     parts = lambda c: F.ceil(F.col(c) / block)
     split = placed.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("k"), F.count(F.lit(1)).alias("c")).where("k > 0 and c > 2")
     open_ = store(placed.join(split.select("key", parts("k").alias("i"), parts("c").alias("j")), "key"))
     heads = store(prefixes(texts, open_.select("id"), share, width))
-    scraps, open_ = [open_, heads], open_.join(sets, "id").join(heads, "id")
+    scraps, open_ = [*scraps, open_, heads], open_.join(sets, "id").join(heads, "id")
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).alias(c)
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(c)
     kept = ["key", "id", "first", "root", "out", "n", *_SKETCH, "bands", "prefix"]
@@ -232,9 +250,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int,
         & once,
     )
     near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    near = store(near.join(stars, ["u", "v"], "left_anti"))
+    near = store(near.join(tested, ["u", "v"], "left_anti"))
     links = store(found.unionByName(similar_pairs(texts, near, share, width)))
-    discard(held, placed, stars, near, found, *scraps)
+    discard(held, placed, near, *scraps)
     return links
 
 
