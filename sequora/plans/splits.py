@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..session import table
 from ..sources import readers, tabix
+from ..streaming import streams
 from ..streaming.streams import scratch
 from .base import dna_sql, query
 
@@ -61,3 +62,14 @@ def region_scan(spark, sf):
         one = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("start"), F.lit(0)).alias("starts"), F.countDistinct("order").alias("orders")).select(F.lit(f"{chrom}:{start}").alias("region"), "n", "starts", "orders")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_DONE = "SELECT user_id, event_id, ts, dense_rank() OVER w AS seen, row_number() OVER w AS rk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query("stream_completion", f"SELECT user_id, 5 AS pieces, CAST(min(rk) AS BIGINT) AS reads FROM (SELECT *, len(list_distinct(list(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS found FROM ({_DONE})) WHERE found >= 5 GROUP BY user_id")
+def stream_completion(spark, sf):
+    """A user's events are pieces (id modulo 7) of a file that needs five; each user that gets them is told once."""
+    events = streams.event_stream(spark, f"{sf}/events.parquet", 1000).select("user_id", (F.col("event_id") % 7).alias("piece"), "ts", F.lit(5).cast("long").alias("needed"))
+    found = streams.completion(events, "user_id", "piece", "ts", "needed", "3650 days")
+    return streams.drain(found).where("outcome = 'complete'").select("user_id", F.col("pieces").cast("int").alias("pieces"), "reads")
