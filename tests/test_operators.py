@@ -165,3 +165,27 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     plan = table(spark, small, "lineitem").where(F.col("l_quantity") > 40).select("l_orderkey")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_bit_llrs_are_those_of_the_bits(spark):
+    """From the probabilities of the four bases, qualities clamped to 10..40 and ratios to 20."""
+    import math
+
+    from sequora.operators.decode import bit_llr
+
+    rows = spark.createDataFrame([(q,) for q in (0, 3, 10, 25, 40, 93)], "q int").withColumn("w", bit_llr(F.col("q"))).collect()
+    for r in rows:
+        e = 10 ** (-max(10, min(40, r.q)) / 10)
+        bases = [1 - e, e / 3, e / 3, e / 3]
+        assert r.w == pytest.approx(min(20, math.log((bases[0] + bases[1]) / (bases[2] + bases[3])))) == pytest.approx(min(20, math.log((bases[0] + bases[2]) / (bases[1] + bases[3]))))
+
+
+def test_seals_break_with_any_field(spark):
+    from sequora.operators.decode import seal, seal_state
+
+    rows = spark.createDataFrame([(i, "c", "h", "2024-01-01", None, False) for i in range(6)], "id long, content string, holder string, created string, expires date, revoked boolean")
+    rows = rows.withColumn("seal", F.when(F.col("id") != 5, seal("id", "content", "holder", "created")))
+    rows = rows.withColumn("content", F.when(F.col("id") == 1, "d").otherwise(F.col("content"))).withColumn("holder", F.when(F.col("id") == 2, "x").otherwise(F.col("holder")))
+    rows = rows.withColumn("revoked", F.col("id") == 3).withColumn("expires", F.when(F.col("id") == 4, F.lit("2024-06-01").cast("date")))
+    got = rows.select("id", seal_state("id", "content", "holder", "created", "seal", "expires", "revoked", F.lit("2025-01-01").cast("date")).alias("s")).collect()
+    assert {r.id: r.s for r in got} == {0: "valid", 1: "broken", 2: "broken", 3: "revoked", 4: "expired", 5: "broken"}
