@@ -13,8 +13,8 @@ with a chance of 2 * 10**-8; that is the only way to lose a link, at any number
 Copies are folded into one distinct set first. Each bucket's members are compared with its
 least id, a few bands at a time, unless they are in one component already; those that this leaves in another component than the least id's are compared with
 all members of other components, in blocks of about ``block`` rows that are spread over the
-tasks, where a pair becomes a row only if sizes and sketches pass, only if a shingle of both
-sets' rare ends is the same, as it must be, and only in the first band that it shares. Nothing
+tasks, where a pair becomes a row only if sizes and sketches pass, only if what the sets' rare
+ends have in common lets them be alike, and only in the first band that it shares. Nothing
 is capped; pairs within one component are implied.
 
 Defined cases: a set of fewer words is the whole sequence as one shingle; null, empty and blank
@@ -238,6 +238,10 @@ def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int,
     a = open_.where("out").select(*kept, own("i"), every("j")).alias("a")
     b = open_.select(*kept, every("i"), own("j")).alias("b")
     once = F.col("a.key") == F.element_at(F.array_intersect("a.bands", "b.bands"), 1)  # keys hold the band's number
+    # what two sets share beyond both prefixes follows the one that ends first in the common order
+    beyond = F.greatest(F.col("a.n") - F.size("a.prefix"), F.col("b.n") - F.size("b.prefix"))
+    most = F.size(F.array_intersect("a.prefix", "b.prefix")) + beyond
+    may = most * (share.numerator + share.denominator) >= (F.col("a.n") + F.col("b.n")) * share.numerator
     near = a.join(
         b,
         (F.col("a.key") == F.col("b.key"))
@@ -246,7 +250,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, share: Fraction, bound: int,
         & (F.col("a.root") != F.col("b.root"))
         & (~F.col("b.out") | (F.col("a.id") < F.col("b.id")))
         & _passes(share, bound, "a", "b")
-        & F.arrays_overlap("a.prefix", "b.prefix")
+        & may
         & once,
     )
     near = near.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
