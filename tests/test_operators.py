@@ -189,3 +189,52 @@ def test_seals_break_with_any_field(spark):
     rows = rows.withColumn("revoked", F.col("id") == 3).withColumn("expires", F.when(F.col("id") == 4, F.lit("2024-06-01").cast("date")))
     got = rows.select("id", seal_state("id", "content", "holder", "created", "seal", "expires", "revoked", F.lit("2025-01-01").cast("date")).alias("s")).collect()
     assert {r.id: r.s for r in got} == {0: "valid", 1: "broken", 2: "broken", 3: "revoked", 4: "expired", 5: "broken"}
+
+
+HEAD, TAIL = "ACGTTGCAAGCTTGACCTGA", "TTGACCATGCAAGTCGGATC"
+
+
+def plain_trim(read, expected):
+    if read is None or len(read) < len(HEAD) + len(TAIL):
+        return None
+
+    def anchor(pattern, first, last):
+        wanted, best = {pattern[i : i + 5] for i in range(len(pattern) - 4)}, (0, None)
+        for p in range(first, last + 1):
+            n = len(wanted & {read[p + i : p + i + 5] for i in range(len(pattern) - 4)})
+            if n > best[0]:
+                best = n, p
+                if n >= len(wanted) - 1:
+                    break
+        return best
+
+    n, at = anchor(HEAD, 0, min(20, len(read) - len(HEAD)))
+    if n < 3:
+        return None
+    inner = at + len(HEAD)
+    n, stop = anchor(TAIL, max(inner + 20, len(read) - len(TAIL) - 30), len(read) - len(TAIL))
+    if n >= 3 and stop > inner + 16:
+        return read[inner:stop]
+    rest = read[inner : inner + expected] if expected else ""
+    return rest if len(rest) >= 16 else None
+
+
+@pytest.mark.parametrize("expected", [0, 60])
+def test_tolerant_trimming_against_plain_python(spark, expected):
+    """Primers with missing, extra and changed bases, noise before and after, reads without one or both."""
+    from sequora.operators.decode import trimmed_tolerant
+
+    rng = random.Random(expected)
+
+    def hurt(text, n):
+        for _ in range(n):
+            p, kind = rng.randrange(len(text)), rng.choice("dis")
+            text = text[:p] + {"d": "", "i": rng.choice("ACGT") + text[p], "s": rng.choice("ACGT")}[kind] + text[p + 1 :]
+        return text
+
+    dna = lambda n: "".join(rng.choices("ACGT", k=n))
+    reads = [dna(rng.randrange(12)) + hurt(HEAD, i % 4) + dna(rng.choice([5, 18, 60, 90])) + (hurt(TAIL, i % 3) if i % 5 else "") + dna(rng.randrange(10)) for i in range(150)]
+    reads += [None, "", HEAD, HEAD + TAIL, HEAD + dna(16) + TAIL, HEAD + dna(21) + TAIL, dna(80), dna(39)]
+    got = trimmed_tolerant(spark.createDataFrame(list(enumerate(reads)), "i int, dna string"), "dna", HEAD, TAIL, expected).collect()
+    want = {i: t for i, r in enumerate(reads) if (t := plain_trim(r, expected)) is not None}
+    assert {r.i: r.dna for r in got} == want and 20 < len(want) < len(reads)
