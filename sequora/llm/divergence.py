@@ -32,14 +32,16 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 
 
-def term_counts(docs: DataFrame, columns: tuple[str, str, str] = ("text", "lang", "source")) -> DataFrame:
+def term_counts(docs: DataFrame, columns: tuple[str, str, str] = ("text", "lang", "source"), shards: int = 4) -> DataFrame:
     """(lang, source, term, n occurrences, df documents).
 
-    Texts of a group are brought together first, a large group in many parts, so that a task
-    counts the words of one group or a few and hands on a row a word instead of one a document or so.
+    Texts of a group are brought together first, in ``shards`` by a hash of the text that adaptive
+    execution may split further, so that a task counts the words of few groups and hands on a row
+    a word. The shard is no key of the counts, so a large group is never counted in one task.
     """
     text, lang, source = (F.coalesce(F.col(c), F.lit("")) for c in columns)
-    texts = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text")).hint("rebalance", F.col("lang"), F.col("source"))
+    shard = F.pmod(F.xxhash64(text), F.lit(shards)).alias("shard")
+    texts = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text"), shard).hint("rebalance", F.col("lang"), F.col("source"), F.col("shard"))
     terms = F.split(ascii_lower(F.col("text")), BETWEEN)  # the same matches as by extraction, in half the time, and empty ends
     rows = texts.select("lang", "source", terms.alias("terms"))
     both = rows.select("lang", "source", F.posexplode(F.array(F.array_distinct("terms"), "terms")).alias("kind", "terms"))
