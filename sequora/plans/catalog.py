@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import addresses, archive, codecs, consensus, decode, files, kmers, models, reads, relational, sequences, splits  # noqa: F401
+from . import addresses, archive, codecs, consensus, decode, files, kmers, libraries, models, parity, reads, relational, sequences, splits  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
