@@ -29,7 +29,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one of the smallest id."""
+    """One document of each component of near copies, by SimHash fingerprints and then by exact similarity: the one of the smallest id."""
     ship(spark)
     return simhash.one_per_component(docs)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, settle, store, text_bytes, word_blocks
+from .common import WORD, discard, documents, settle, store, text_bytes, word_blocks
 from .graph import components
 
 SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
@@ -144,9 +144,10 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 # Similarity of word shingles -------------------------------------------------
 #
-# Texts whose five-word shingles agree to 0.8 differ in some 15 % of a fingerprint's bits, so no
-# chain of exact bits finds them all in a large table. The stage that drops near copies works on
-# the shingle sets themselves. All shingles have one order; two sets of similarity t share one
+# The stage that drops near copies takes the components of the fingerprints' links first. Texts
+# whose five-word shingles agree to 0.8 differ in some 15 % of a fingerprint's bits, so no chain
+# of exact bits finds all of these in a large table too. What the fingerprints leave apart is
+# joined by an exact similarity of the shingle sets. All shingles have one order; two sets of similarity t share one
 # of the first n - ceil(t n) + 1 shingles of each, whatever the number of documents. So each text is
 # entered under these, and a pair that meets is decided by the exact Jaccard similarity. The
 # order puts shingles that are frequent in a sample last; it sets the cost, not the result.
@@ -242,9 +243,12 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, share: Fraction, width: int
     return alike
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most_pairs: int = 64, id_column: str = "doc_id", text_column: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(u, v) links that have the components of all pairs of ids whose shingle sets are ``similarity`` alike.
 
+    Links (u, v) that are ``known`` already count as links too, and what they bring into one
+    component is compared with its buckets' least ids only.
+
     First every member of a bucket is compared with its least id. What that leaves in another
     component than the least id's is then compared with all members of other components, in
     blocks of ``most_pairs`` rows that are spread over the tasks; so each pair of a bucket is
@@ -280,6 +284,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     stars = members.where((F.col("first.id") < F.col("id")) & may(F.col("first.n"), F.col("first.at"), F.col("n"), F.col("at")))
     stars = close(stars.select(F.col("first.id").alias("u"), F.col("id").alias("v"), F.col("first.n").alias("n"), F.col("n").alias("nv")).distinct())
     found = similar_pairs(rows, stars, share, width)
+    if known is not None:
+        found = found.unionByName(known)
     roots = components(found).select(F.col("node").alias("id"), "root")
     placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = laid = store(placed)
@@ -316,13 +322,30 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     return found.unionByName(similar_pairs(rows, near, share, width))
 
 
-def one_per_component(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+def near_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
+    """(u, v) links that have ``near_components``' components of the rows with an id and a word: each
+    id and the smallest of its fingerprint, and the smallest of each two fingerprints that link."""
+    rows = docs.where(F.col(id_column).isNotNull() & F.col(text_column).rlike(WORD))
+    prints = store(fingerprints(rows, id_column, text_column, width))
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = lambda fp, name: distinct.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    near = links(distinct.select("fp")).withColumnsRenamed({"u": "a", "v": "b"}).join(least("a", "u"), "a").join(least("b", "v"), "b")
+    copies = prints.join(distinct, "fp").where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
+    found = store(near.select("u", "v").unionByName(copies))
+    discard(prints, distinct)
+    return found
+
+
+def one_per_component(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group of near copies: that of the least id.
 
-    Rows that share an id stand or fall together; rows without an id, and texts without a
-    word, stay.
+    Near copies are texts whose fingerprints link, as in ``near_components``, and those whose
+    shingle sets are alike, which fingerprints need not be near for; a group is all that either
+    reaches. Rows that share an id stand or fall together; rows without an id, and texts without
+    a word, stay.
     """
-    found = components(similar_links(docs, id_column=id_column, **options))
+    known = near_links(docs, id_column, text_column)
+    found = components(similar_links(docs, id_column=id_column, text_column=text_column, known=known, **options))
     gone = found.where("node <> root").select(F.col("node").alias("__gone")).distinct()
     return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
 

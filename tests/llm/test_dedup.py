@@ -226,6 +226,24 @@ def test_crowded_buckets_lose_no_pair(make, prose):
     assert {i: found.get(i, i) for i in range(len(texts))} == want
 
 
+def test_near_stage_takes_every_link_of_the_fingerprints(spark, make, odd, prose):
+    """Texts that fingerprints link, though their shingle sets are not alike, are one group too; so is what both reach together."""
+    import corpus_pipeline
+
+    loops = ["tick tock " * 200 + prose(n, 80 + n) for n in (3, 9, 20)] + ["hum " * 300 + t for t in ("end", "stop here")]
+    texts = [*odd, *loops, *around(prose, 9, groups=6), loops[0] + " one more"]
+    prints = [brute_simhash(t) for t in texts]
+    sets = [shingles(t or "") for t in texts]
+    near = lambda a, b: bool(sets[a] and sets[b]) and (prints[a] ^ prints[b]).bit_count() <= 2
+    want = brute_components(range(len(texts)), lambda a, b: near(a, b) or alike(sets[a], sets[b]))
+    alone = brute_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    assert sum(want[i] == i for i in want) < sum(alone[i] == i for i in alone)
+    docs = make(texts, True)
+    kept = corpus_pipeline.drop_near(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in want if want[i] == i]
+    assert kept.columns == docs.columns
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcd"])
 def test_suffix_short_windows(make, letters):
     """Every window of eight bytes against brute force."""
