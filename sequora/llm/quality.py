@@ -25,7 +25,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +130,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
+def _id_hash(ids: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64, which spreads ids over a fitting part and one for the temperature."""
+    x = ids.astype(np.int64).view(np.uint64)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, folds: int = 5, held_out: int = 0, id_column: str = "doc_id", text_column: str = "text", label_id: str = "doc_id") -> DataFrame:
     """(doc_id, t bytes, y): at most ``most_rows`` labelled rows outside the held-out fold."""
     usable = labels.where(F.col(label).isNotNull() & F.col(label_id).isNotNull() & (id_fold(F.col(label_id), folds) != held_out))
@@ -190,16 +199,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
             made = [spread.value.vector(t.as_py() or b"").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["doc_id", "v", "y"])
 
-    rows = sample.select("doc_id", "t", "y").mapInArrow(vectors, "doc_id long, v binary, y int").toPandas().sort_values(["doc_id", "v"])
+    rows = sample.select("doc_id", "t", "y").mapInArrow(vectors, "doc_id long, v binary, y int").toArrow()
     spread.destroy()
-    if rows["y"].nunique() < 2:
-        model.constant = float(rows["y"].mean()) if len(rows) else 0.5
+    ids, found = rows["doc_id"].to_numpy(), rows["v"].to_pylist()
+    order = sorted(range(len(found)), key=lambda i: (ids[i], found[i]))
+    ids, y = ids[order], rows["y"].to_numpy()[order].astype(np.float64)
+    if len(set(y)) < 2:
+        model.constant = float(y.mean()) if len(y) else 0.5
         return model
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["v"]])
-    y = rows["y"].to_numpy(np.float64)
+    x = np.stack([np.frombuffer(found[i], np.float32) for i in order])
     model.mean, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     scaled = (x - model.mean) / model.spread
-    last = (pd.util.hash_array(rows["doc_id"].to_numpy()) % 5 == 4) if len(rows) >= 50 else np.zeros(len(rows), bool)
+    last = (_id_hash(ids) % np.uint64(5) == 4) if len(ids) >= 50 else np.zeros(len(ids), bool)
     if len(set(y[~last])) < 2:
         last[:] = False
     model.layers = train(scaled[~last], y[~last])
@@ -237,10 +248,11 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_column:
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if not len(texts):
-            return pd.Series([], dtype=np.float64)
-        return pd.Series(spread.value.score(np.stack([spread.value.vector(bytes(t)) if t is not None else np.zeros(2 * SIZE, np.float32) for t in texts])))
+            return pa.array([], pa.float64())
+        found = (t.as_py() for t in texts)
+        return pa.array(spread.value.score(np.stack([spread.value.vector(t) if t is not None else np.zeros(2 * SIZE, np.float32) for t in found])).astype(np.float64))
 
     return docs.where(score(text_bytes(text_column)) >= threshold)

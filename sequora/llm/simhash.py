@@ -202,8 +202,8 @@ def frequent_shingles(rows: DataFrame, width: int, share: int = 64, least_rows:
     step = max(1, min(share, rows.count() // least_rows))
     some = shingle_sets(rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), width)
     counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    found = counts.orderBy(F.desc("c"), "key").limit(most).toPandas()
-    return found["key"].to_numpy(np.int64)[::-1].view(np.uint64)
+    found = counts.orderBy(F.desc("c"), "key").limit(most).toArrow()
+    return found["key"].to_numpy()[::-1].view(np.uint64)
 
 
 def prefixes(rows: DataFrame, share: Fraction, width: int) -> DataFrame:
@@ -226,9 +226,9 @@ def prefixes(rows: DataFrame, share: Fraction, width: int) -> DataFrame:
 
 def marks(ids: DataFrame, bits: int = 23) -> np.ndarray:
     """A bitmap of 2**bits bits of the ids' hashes."""
-    words = ids.select(_slot(bits).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toPandas()
+    words = ids.select(_slot(bits).alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
     bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return bitmap
 
 
@@ -247,7 +247,9 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     """(u, v) links that have the components of all pairs of ids whose shingle sets are ``similarity`` alike.
 
     Links (u, v) that are ``known`` already count as links too, and what they bring into one
-    component is compared with its buckets' least ids only.
+    component is compared with its buckets' least ids only. With them, each id that has a link
+    before the last comparison is given with the least of its component instead of its links, so
+    that the components of the result take few rounds.
 
     First every member of a bucket is compared with its least id. What that leaves in another
     component than the least id's is then compared with all members of other components, in
@@ -286,7 +288,10 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     found = similar_pairs(rows, stars, share, width)
     if known is not None:
         found = found.unionByName(known)
-    roots = components(found).select(F.col("node").alias("id"), "root")
+    grouped = components(found)
+    if known is not None:
+        found = grouped.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = grouped.select(F.col("node").alias("id"), "root")
     placed = members.select("key", "id", "n", "at", F.col("first.id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = laid = store(placed)
     discard(held)
@@ -294,7 +299,8 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     placed = placed.join(mains, "key").withColumn("out", F.col("root") != F.col("main"))
     split = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("out").cast("long")).alias("k")).where("k > 0")
     blocks = lambda c: F.ceil(F.col(c) / most_pairs)
-    open_ = placed.join(split.select("key", blocks("k").alias("i"), blocks("c").alias("j")), "key")
+    open_ = store(placed.join(split.select("key", blocks("k").alias("i"), blocks("c").alias("j")), "key"))  # one plan for both sides of the join
+    discard(laid)
     block = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     a = open_.where("out").select("key", "id", "n", "at", "root", block("i").alias("i"), every("j").alias("j")).alias("a")
@@ -318,7 +324,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
     most = F.col("c") + F.least(F.col("n") - F.col("at") - 1, F.col("nv") - F.col("atv") - 1)
     near = near.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v", "n", "nv")
     near = close(near.join(stars, ["u", "v"], "left_anti"))
-    discard(laid, stars, entered)
+    discard(open_, stars, entered)
     return found.unionByName(similar_pairs(rows, near, share, width))
 
 
