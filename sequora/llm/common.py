@@ -184,12 +184,16 @@ def store(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*stored: DataFrame) -> None:
-    """Delete what ``store`` wrote, once nothing that is still to run reads it; then ``release``."""
+def discard(*stored: DataFrame, collect: bool = True) -> None:
+    """Delete what ``store`` wrote, once nothing that is still to run reads it; then ``release``.
+
+    Without ``collect`` the driver's garbage stays for later: collections in quick succession take
+    so much of the driver's time that its collector lets the heap grow, by half on small inputs.
+    """
     for df in stored:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    for df in stored[:1]:
+    for df in stored[: int(collect)]:
         release(df.sparkSession)
 
 

@@ -239,7 +239,7 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame, share: Fraction, width: int
     both = both.join(sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("keys").alias("kv")), "v")
     alike = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("ku", "kv")).cast("long").alias("common"))
     alike = store(alike.where(F.col("common") * share.denominator >= (F.col("n") - F.col("common")) * share.numerator).select("u", "v").distinct())
-    discard(sets)
+    discard(sets, collect=False)
     return alike
 
 
@@ -274,7 +274,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, most
         beyond = F.ceil(F.greatest("n", "nv") * share.numerator / share.denominator) - 1
         most = F.size(F.array_intersect("ku", "kv")) + beyond
         kept = store(both.where(most * (share.numerator + share.denominator) >= (F.col("n") + F.col("nv")) * share.numerator).select("u", "v").distinct())
-        discard(pairs)
+        discard(pairs, collect=False)
         return kept
 
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -332,7 +332,7 @@ def near_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     near = links(distinct.select("fp")).withColumnsRenamed({"u": "a", "v": "b"}).join(least("a", "u"), "a").join(least("b", "v"), "b")
     copies = prints.join(distinct, "fp").where("doc_id <> least").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
     found = store(near.select("u", "v").unionByName(copies))
-    discard(prints, distinct)
+    discard(prints, distinct, collect=False)
     return found
 
 

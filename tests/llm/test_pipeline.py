@@ -37,3 +37,14 @@ def test_stages(spark, small):
 def test_run_equals_stages(spark, small):
     n = corpus_pipeline.run(spark, small).count()
     assert n == corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_near_dedup_lets_the_driver_collect_twice(spark, make, prose, monkeypatch):
+    """Seven collections in quick succession made the driver's heap grow beyond its limit."""
+    from sequora.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", calls.append)
+    docs = make([prose(60, 1), prose(60, 1) + " end", prose(60, 2), None])
+    assert corpus_pipeline.drop_near(spark, docs, "").count() == 3
+    assert len(calls) <= 2
