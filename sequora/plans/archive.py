@@ -148,7 +148,7 @@ def bin_range_join(spark, sf):
 
 @query("genomic_bins", "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN s // 16384 = (e - 1) // 16384 THEN 4681 + s // 16384 WHEN s // 131072 = (e - 1) // 131072 THEN 585 + s // 131072 WHEN s // 1048576 = (e - 1) // 1048576 THEN 73 + s // 1048576 WHEN s // 8388608 = (e - 1) // 8388608 THEN 9 + s // 8388608 WHEN s // 67108864 = (e - 1) // 67108864 THEN 1 + s // 67108864 ELSE 0 END AS bin FROM (SELECT l_orderkey * 997 AS s, l_orderkey * 997 + CAST(l_extendedprice AS BIGINT) + 1 AS e FROM lineitem)) GROUP BY bin")
 def genomic_bins(spark, sf):
-    x = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 997).alias("s"), (F.col("l_orderkey") * 997 + F.round("l_extendedprice").cast("long") + 1).alias("e"))
+    x = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 997).alias("s"), (F.col("l_orderkey") * 997 + F.rint("l_extendedprice").cast("long") + 1).alias("e"))
     return x.groupBy(I.genomic_bin(F.col("s"), F.col("e")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
