@@ -7,6 +7,8 @@ addresses within a base of another are 48 XORs away and a tolerant join stays an
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ BASES = 16
 #: The bytes that an address is XORed with.
 WHITENING = (0x1B, 0x4B, 0x24, 0x6D)
 _WHITE = int.from_bytes(bytes(WHITENING), "big")
-#: Every change of one base of a packed address.
-CHANGES = [change << 2 * place for place in range(BASES) for change in (1, 2, 3)]
 
 
 def address_code(strand: Column, seed: Column | None = None) -> Column:
@@ -27,7 +27,8 @@ def address_code(strand: Column, seed: Column | None = None) -> Column:
 
 
 def address_dna(code: Column) -> Column:
-    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), BASES, "0"), "0123", "ACGT")
+    four = F.array(*[F.lit("".join(letters)) for letters in product("ACGT", repeat=4)])
+    return F.concat(*[F.get(four, F.shiftright(code, shift).bitwiseAND(F.lit(255)).cast("int")) for shift in (24, 16, 8, 0)])
 
 
 def read_code(dna: Column) -> Column:
@@ -55,34 +56,55 @@ def in_range(code: Column, strands: int, seeds: int = 1) -> Column:
     return (strand_of(code) < strands) & (seed_of(code) < seeds)
 
 
-def _around(rows: DataFrame, code: str, key: str) -> DataFrame:
-    """A row for each address one base from ``code``, in column ``key``."""
-    return rows.withColumn(key, F.explode(F.array(*[F.lit(c).cast("long") for c in CHANGES]))).withColumn(key, F.col(code).bitwiseXOR(F.col(key)))
+def _around(rows: DataFrame, code: str, key: str, places: list[int]) -> DataFrame:
+    """A row for each address one base from ``code`` in one of ``places``, in column ``key``."""
+    changes = [change << 2 * place for place in places for change in (1, 2, 3)]
+    return rows.withColumn(key, F.explode(F.array(*[F.lit(c).cast("long") for c in changes]).cast("array<long>"))).withColumn(key, F.col(code).bitwiseXOR(F.col(key)))
+
+
+def _without(rows: DataFrame, code: str, key: str, places: list[int]) -> DataFrame:
+    """A row for each of ``places``: ``code`` without that base, and (in the high bits) which it is."""
+    without = [F.col(code).bitwiseAND(F.lit(~(3 << 2 * place))).bitwiseXOR(F.lit(place << 58)) for place in places]
+    return rows.withColumn(key, F.explode(F.array(*without).cast("array<long>")))
+
+
+def _common(least: DataFrame) -> tuple[int, int]:
+    """Which bits of an address belong to bases that all of ``least`` (code) have alike, and these bits; all and 0 of none."""
+    both, one = least.agg(F.expr("bit_and(code)"), F.expr("bit_or(code)")).first()
+    alike = sum(3 << 2 * place for place in range(BASES) if both is None or not (both ^ one) >> 2 * place & 3)
+    return alike, (both or 0) & alike
 
 
 def nearest(codes: DataFrame, references: DataFrame, most: int = 2) -> DataFrame:
     """(code, strand, changed) of the ``codes`` (column code) within ``most`` bases of a reference (strand, code).
 
-    The nearest reference is taken, and of equally near ones the least strand number. Waves:
-    equal addresses are one equi-join; what is left meets the references under the 48 addresses
-    around each; what is still left and the references meet half-way, under the 48 around each
-    of both, which two addresses share exactly when they are two bases apart or less. So a wave
-    costs 48 rows for an address that no earlier wave has settled, and a clean one costs one.
+    The nearest reference is taken, and of equally near ones the least strand number. Bases that
+    all references have alike (seeds, leading digits) are set right first, each a change, so
+    many codes become one, and only the other bases are looked around in. Waves: equal addresses
+    are one equi-join; what is left meets the references without one base, a row for each base;
+    what is still left and the references meet half-way, under the addresses one base around
+    each of both, which two addresses share exactly when they are two bases apart or less.
     """
     if not 0 <= most <= 2:
         raise ValueError("neighbourhoods meet half-way up to two changed bases")
-    least = references.where("code is not null").groupBy("code").agg(F.min("strand").alias("strand"))
-    left = settled(codes.where("code is not null").select("code").distinct())
-    waves = [left.join(least, "code").select("code", "strand", F.lit(0).alias("changed"))]
-    for changed in range(1, most + 1):
-        left = settled(left.join(waves[-1].select("code"), "code", "left_anti"))
-        keys = _around(left, "code", "key")
-        known = least.select(F.col("code").alias("key"), "strand") if changed == 1 else _around(least, "code", "key").groupBy("key").agg(F.min("strand").alias("strand"))
-        waves.append(settled(keys.join(known, "key").groupBy("code").agg(F.min("strand").alias("strand")).withColumn("changed", F.lit(changed))))
+    least = settled(references.where("code is not null").groupBy("code").agg(F.min("strand").alias("strand")))
+    alike, bits = _common(least)
+    places = [place for place in range(BASES) if not alike >> 2 * place & 3]
+    right = F.col("code").bitwiseAND(F.lit(~alike)).bitwiseOR(F.lit(bits))
+    distinct = settled(codes.select("code").distinct()).where("code is not null")  # stored in between: a filter pushed down works codes out twice
+    every = settled(distinct.select("code", right.alias("right"), changed_bases(F.col("code"), right).alias("wrong")).where(F.col("wrong") <= most))
+    left = settled(every.groupBy(F.col("right").alias("code")).agg(F.min("wrong").alias("wrong")))
+    waves = [settled(left.join(least, "code").select("code", "strand", F.lit(0).alias("more")))]
+    for more in range(1, most + 1):
+        left = settled(left.join(waves[-1].select("code"), "code", "left_anti").where(F.col("wrong") <= most - more))
+        meet = _without if more == 1 else _around
+        known = meet(least, "code", "key", places).groupBy("key").agg(F.min("strand").alias("strand"))
+        waves.append(settled(meet(left.select("code"), "code", "key", places).join(known, "key").groupBy("code").agg(F.min("strand").alias("strand")).withColumn("more", F.lit(more))))
     found = waves[0]
     for wave in waves[1:]:
         found = found.unionByName(wave)
-    return found
+    near = every.join(found.withColumnRenamed("code", "right"), "right").select("code", "strand", (F.col("wrong") + F.col("more")).alias("changed"))
+    return settled(near.where(F.col("changed") <= most))
 
 
 def by_address(reads: DataFrame, sequence: str, references: DataFrame, most: int = 2) -> DataFrame:
@@ -94,9 +116,10 @@ def by_address(reads: DataFrame, sequence: str, references: DataFrame, most: int
     coded = reads.withColumn("code", read_code(F.col(sequence)))
     found = nearest(coded, references, most)
     outcome = F.when(F.col("changed") == 0, "exact").when(F.col("changed") > 0, "near").otherwise("unknown")
-    readable = coded.where("code is not null").join(found, "code", "left").withColumn("outcome", outcome)
-    none = coded.where("code is null").withColumn("strand", F.lit(None).cast("long")).withColumn("changed", F.lit(None).cast("int")).withColumn("outcome", F.lit("unreadable"))
-    return readable.unionByName(none).drop("code")
+    # unreadable reads have keys of their own, spread over the tasks, that no code equals
+    key = F.coalesce("code", F.lit(-1) - F.pmod(F.monotonically_increasing_id(), F.lit(9973)))
+    joined = coded.withColumn("__key", key).join(found.withColumnRenamed("code", "__key"), "__key", "left")
+    return joined.withColumn("outcome", F.when(F.col("code").isNull(), "unreadable").otherwise(outcome)).select(*reads.columns, "strand", "changed", "outcome")
 
 
 def clusters(assigned: DataFrame) -> DataFrame:

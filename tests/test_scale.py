@@ -35,3 +35,14 @@ def test_bins_beyond_the_scheme_meet_once(spark):
     met = own.join(wide, "bin").where("s < y AND x < e").select("s", "e", "x", "y")
     want = spans.crossJoin(spans.toDF("x", "y")).where("s < y AND x < e")
     assert sorted(met.collect()) == sorted(want.collect())
+
+
+def test_addresses_set_common_bases_right(spark):
+    """References of one seed and near numbers leave few bases to look around in: far fewer rows are dealt than 48 a read."""
+    from sequora.operators import addresses as A
+
+    refs = spark.range(64).select(F.col("id").alias("strand"), A.address_code(F.col("id")).alias("code"))
+    reads = spark.range(64).select(A.address_code(F.col("id")).bitwiseXOR(F.lit(1 << 20)).alias("code"))
+    alike, bits = A._common(refs)
+    assert bin(alike).count("1") == 26 and all(r.code & alike == bits for r in refs.collect())
+    assert {(r.strand, r.changed) for r in A.nearest(reads, refs).collect()} == {(i, 1) for i in range(64)}
