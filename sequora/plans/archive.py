@@ -143,7 +143,8 @@ def interval_merge(spark, sf):
 def bin_range_join(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size").cast("long") * 1000).alias("ps")).withColumn("pe", F.col("ps") + 1500)
     c = table(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey", F.floor(F.col("c_acctbal") * 5).alias("cs")).withColumn("ce", F.col("cs") + 200)
-    return I.overlap_join(c, p, "cs", "ce", "ps", "pe", 1000).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_part"))
+    found = I.overlap_counts(c, p, "cs", "ce", "ps", "pe", "p_partkey", 1000)
+    return found.groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("least").alias("first_part"))
 
 
 @query("genomic_bins", "SELECT bin, count(*) AS n FROM (SELECT CASE WHEN s // 16384 = (e - 1) // 16384 THEN 4681 + s // 16384 WHEN s // 131072 = (e - 1) // 131072 THEN 585 + s // 131072 WHEN s // 1048576 = (e - 1) // 1048576 THEN 73 + s // 1048576 WHEN s // 8388608 = (e - 1) // 8388608 THEN 9 + s // 8388608 WHEN s // 67108864 = (e - 1) // 67108864 THEN 1 + s // 67108864 ELSE 0 END AS bin FROM (SELECT l_orderkey * 997 AS s, l_orderkey * 997 + CAST(l_extendedprice AS BIGINT) + 1 AS e FROM lineitem)) GROUP BY bin")

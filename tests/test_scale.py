@@ -46,3 +46,14 @@ def test_addresses_set_common_bases_right(spark):
     alike, bits = A._common(refs)
     assert bin(alike).count("1") == 26 and all(r.code & alike == bits for r in refs.collect())
     assert {(r.strand, r.changed) for r in A.nearest(reads, refs).collect()} == {(i, 1) for i in range(64)}
+
+
+def test_overlaps_of_equal_intervals_are_joined_once(spark):
+    """20 000 equal intervals on each side: 400 million pairs, counted without being made; others, and a customer twice, beside them."""
+    left = spark.range(20_000).selectExpr("id AS k", "10L AS s", "20L AS e").union(spark.createDataFrame([(7, 900, 905), (9, 3, 3), (9, None, 4)], "k long, s long, e long"))
+    right = spark.range(20_000).selectExpr("id + 5 AS p", "15L AS ps", "40L AS pe").union(spark.createDataFrame([(1, 19, 901), (2, 0, 4)], "p long, ps long, pe long"))
+    found = I.overlap_counts(left, right, "s", "e", "ps", "pe", "p", 8)
+    got = {tuple(r) for r in found.groupBy("s", "e", "n", "least").count().collect()}
+    assert got == {(10, 20, 20_001, 1, 20_000), (900, 905, 1, 1, 1)} | {(3, 3, 1, 2, 1)}
+    nodes = I.overlap_join(left.select("s", "e"), right, "s", "e", "ps", "pe", 8).where("s = 3").collect()
+    assert [(r.s, r.p) for r in nodes] == [(3, 2)]
