@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import kmer
+from ..operators.bases import dna
 from ..session import table
 from .base import dna_sql, query
 
@@ -47,7 +48,7 @@ SELECT read_id, item_id, n AS overlap, n - coalesce(second, 0) AS margin FROM o
 
 @query("kmer_best_match_margin", _BEST)
 def kmer_best_match_margin(spark, sf):
-    reads = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), S.bytes_to_dna("text").alias("dna"))
+    reads = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), dna("text").alias("dna"))
     return kmer.best_match(reads, "read_id", references(spark, sf), "item_id", "dna", k=20, least=3, margin=2)
 
 

@@ -57,3 +57,50 @@ def test_overlaps_of_equal_intervals_are_joined_once(spark):
     assert got == {(10, 20, 20_001, 1, 20_000), (900, 905, 1, 1, 1)} | {(3, 3, 1, 2, 1)}
     nodes = I.overlap_join(left.select("s", "e"), right, "s", "e", "ps", "pe", 8).where("s = 3").collect()
     assert [(r.s, r.p) for r in nodes] == [(3, 2)]
+
+
+def test_dna_in_batches(spark):
+    from sequora.functions import sequence as S
+    from sequora.operators.bases import dna
+
+    rows = spark.createDataFrame([("",), (None,), ("aé漢😀\0",), ("x" * 3000,)], "t string").repartition(3)
+    assert rows.where(~dna("t").eqNullSafe(S.bytes_to_dna("t"))).count() == 0
+
+
+def test_best_match_in_parts_equals_the_join(spark, monkeypatch):
+    """Ties, odd letters, short and null strings, references in several parts, equal to the join; no read is shuffled."""
+    import random
+
+    from sequora.operators import kmer
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common = word(12)
+    refs = [(i, word(30) + common * (i % 2) + word(9)) for i in range(40)] + [(50, "NNN"), (51, None), (52, "AC"), (53, "")]
+    refs.append((54, refs[3][1]))
+    reads = [(100 + i, refs[rng.randrange(40)][1][rng.randrange(9) :] + "N" * (i % 3) + word(5) + common) for i in range(60)] + [(1, None), (2, ""), (3, "NNNN"), (4, common)]
+    r, f = spark.createDataFrame(reads, "r long, s string").repartition(3), spark.createDataFrame(refs, "f long, s string")
+    for k, margin in ((5, 0), (7, 2)):
+        want = sorted(map(tuple, kmer._best_match_joined(r, "r", f, "f", "s", k, 3, margin).collect()))
+        for most in (1 << 14, 7):
+            monkeypatch.setattr(kmer, "MOST_REFS", most)
+            got = kmer.best_match(r, "r", f, "f", "s", k, 3, margin)
+            assert sorted(map(tuple, got.collect())) == want and want
+    monkeypatch.setattr(kmer, "MOST_REFS", 1 << 14)
+    assert "Exchange hash" not in kmer.best_match(r, "r", f, "f", "s")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_warp_distances_side_by_side():
+    import numpy as np
+
+    from sequora.operators import consensus as K
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(7, 9)), rng.normal(size=(5, 6))
+    assert K.warp_distances(a, b).tolist() == [[K.warp_distance(x, y) for y in b] for x in a]
+    heads, known = ["ACGTACGT", "AC", "TTTTGA", "ACGTACGT"], {5: "ACGTACGA", 2: "ACGTACGA", 9: "TT", 7: "TTTGACC"}
+    keys, distances = K.nearest_signals(heads, known)
+    for h, key, d in zip(heads, keys, distances, strict=True):
+        each = {i: K.warp_distance(K.squiggle(h), K.squiggle(s)) for i, s in known.items()}
+        best = min(each, key=lambda i: (each[i], i))
+        assert (key, d) == (best, each[best])
