@@ -143,6 +143,43 @@ def warp_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(before[-1] / max(len(a), len(b)))
 
 
+def warp_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``warp_distance`` of every row of ``a`` with every row of ``b``, all pairs side by side."""
+    if not a.shape[1] or not b.shape[1]:
+        return np.full((len(a), len(b)), np.inf)
+    out, step = np.empty((len(a), len(b))), max(1, 4096 // max(len(b), 1))
+    for low in range(0, len(a), step):
+        part = a[low : low + step]
+        before = np.full((b.shape[1] + 1, len(part), len(b)), np.inf)
+        before[0] = 0.0
+        now = np.empty_like(before)
+        for i in range(a.shape[1]):
+            now[0] = np.inf
+            for j in range(1, b.shape[1] + 1):
+                best = np.minimum(before[j], now[j - 1], out=now[j])
+                np.minimum(best, before[j - 1], out=best)
+                best += np.abs(b[:, j - 1] - part[:, i, None])
+            before, now = now, before
+        out[low : low + step] = before[-1] / max(a.shape[1], b.shape[1])
+    return out
+
+
+def nearest_signals(heads: list[str], known: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, distance): the key of ``known`` whose signal is nearest to each head's, the least of equally near ones; equal heads are compared once."""
+    keys = np.array(sorted(known))
+    signals = [squiggle(known[k]) for k in keys]
+    distinct, place = np.unique(np.array(heads, object).astype(str), return_inverse=True)
+    own = [squiggle(h) for h in distinct]
+    found = np.full((len(own), len(keys)), np.inf)
+    for m in {len(s) for s in own}:
+        rows = [i for i, s in enumerate(own) if len(s) == m]
+        for n in {len(s) for s in signals}:
+            columns = [i for i, s in enumerate(signals) if len(s) == n]
+            found[np.ix_(rows, columns)] = warp_distances(np.array([own[i] for i in rows]), np.array([signals[i] for i in columns]))
+    best = found.argmin(axis=1)
+    return keys[best][place], found[np.arange(len(own)), best][place]
+
+
 def squiggle(bases: str, k: int = 3) -> np.ndarray:
     """A signal level for each k-mer: a fixed linear model of its codes."""
     codes = np.array([BASES.index(c) for c in bases if c in BASES], np.float64)

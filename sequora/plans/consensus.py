@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import codecs as C
 from ..operators import consensus as K
+from ..operators.bases import dna
 from ..session import table
 from .base import dna_sql, query
 
@@ -67,19 +68,14 @@ def edit_rates(spark, sf):
 @query("read_until")
 def read_until(spark, sf):
     """The reference whose header signal is nearest to each conversation's first read; far ones are ejected."""
-    heads = table(spark, sf, "benchmark").select("item_id", F.substring(S.bytes_to_dna("text"), 1, 40).alias("head"))
+    heads = table(spark, sf, "benchmark").select("item_id", F.substring(dna("text"), 1, 40).alias("head"))
     known = {r["item_id"]: r["head"] for r in heads.collect()}  # a panel of targets, broadcast with the function
 
     @F.pandas_udf("struct<item_id:long,distance:double>")
     def nearest(head: pd.Series) -> pd.DataFrame:
-        levels = {k: K.squiggle(v) for k, v in known.items()}
-        out = []
-        for h in head:
-            d = {k: K.warp_distance(K.squiggle(h), s) for k, s in levels.items()}
-            k = min(d, key=lambda i: (d[i], i))
-            out.append((k, d[k]))
-        return pd.DataFrame(out, columns=["item_id", "distance"])
-
-    reads = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.substring(S.bytes_to_dna("text"), 1, 40).alias("head")).where(F.length("head") == 40)
+        keys, distances = K.nearest_signals(list(head), known)
+        return pd.DataFrame({"item_id": keys, "distance": distances})
+
+    reads = table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.substring(dna("text"), 1, 40).alias("head")).where(F.length("head") == 40)
     hit = reads.withColumn("h", nearest("head"))
     return hit.select("conv_id", "h.item_id", F.round("h.distance", 4).alias("distance"), (F.col("h.distance") >= 5).alias("ejected"))
