@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import reads as R
+from ..operators.bases import dna
 from ..session import table
 from .base import dna_sql, query
 
@@ -17,7 +18,7 @@ LEN = f"SELECT conv_id, CAST(floor(quantile_cont(length(dna), 0.5)) AS INT) AS l
 
 def reads(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", "role", (F.col("conv_id") * 100 + F.col("turn")).alias("read"), S.bytes_to_dna("text").alias("dna"))
+    return c.select("conv_id", "turn", "role", (F.col("conv_id") * 100 + F.col("turn")).alias("read"), dna("text").alias("dna"))
 
 
 def _vote_sql(weight: str) -> str:

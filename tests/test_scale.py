@@ -104,3 +104,15 @@ def test_warp_distances_side_by_side():
         each = {i: K.warp_distance(K.squiggle(h), K.squiggle(s)) for i, s in known.items()}
         best = min(each, key=lambda i: (each[i], i))
         assert (key, d) == (best, each[best])
+
+
+def test_tolerant_trimming_looks_at_the_ends_in_batches(spark):
+    from sequora.operators import decode as D
+
+    head, tail = "ACGTTGCAAGCTTGACCTGA", "TTGACCATGCAAGTCGGATC"
+    reads = {1: "GG" + head + "ACGT" * 300 + tail + "A", 2: head + "C" * 40, 3: head[:9] + head[10:] + "G" * 30 + "é" + tail, 4: "ACGT" * 30, 5: None, 6: "", 7: head + tail}
+    rows = spark.createDataFrame(list(reads.items()), "i long, s string").repartition(2)
+    found = D.trimmed_tolerant(rows, "s", head, tail, 20)
+    assert {r.i: r.s for r in found.collect()} == {1: "A" + ("ACGT" * 300)[:-1], 2: "C" * 20, 3: "G" * 29, 7: tail}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and "ArrowEvalPython" in plan
