@@ -1,7 +1,9 @@
 """Inputs that the small tables do not have: far keys, halves, dense libraries, many equal rows."""
 
+import itertools
 import os
 
+import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
@@ -116,3 +118,36 @@ def test_tolerant_trimming_looks_at_the_ends_in_batches(spark):
     assert {r.i: r.s for r in found.collect()} == {1: "A" + ("ACGT" * 300)[:-1], 2: "C" * 20, 3: "G" * 29, 7: tail}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "array_intersect" not in plan and "ArrowEvalPython" in plan
+
+
+def test_tiling_walks_each_text_once(spark):
+    """The same tiles as by rounds of joins, without a join."""
+    from sequora.operators import libraries as L
+
+    library = spark.createDataFrame([(3, "ab"), (1, "abc"), (9, "é😀"), (2, "ab"), (4, "cc")], "entry long, sequence string")
+    texts = spark.createDataFrame([("x", "abcabxé😀é"), ("y", "ccc" * 50), ("z", None), (None, "ab"), ("w", "\0ab")], "id string, sequence string").repartition(2)
+    for gap in (1, 3):
+        found = L.tile(texts, library, gap)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, L._tile_in_rounds(texts.where("id is not null and sequence <> ''"), library, gap).collect()))
+
+
+@pytest.mark.parametrize(("size", "pieces"), [(6, 900), (6, 5), (40, 30)])
+def test_nearest_in_crowded_libraries(spark, monkeypatch, size, pieces):
+    """A library that holds much of what there is makes no pairs of blocks and pieces that share a segment."""
+    import random
+
+    from sequora.operators import libraries as L
+
+    rng = random.Random(size + pieces)
+    letters = lambda: "".join(rng.choice("ACGT") for _ in range(size))
+    library = [(i, letters()) for i in range(pieces)]
+    blocks = {letters() for _ in range(200)} | {s[:-2] + "NN" for _, s in library[:9]} | {"N" * size, "\0" + library[0][1][1:]}
+    used, around = [], L._neighbours
+    if pieces == 900:  # half of what there is, against segments that some hundred thousand pairs share
+        blocks |= {"".join(b) for b in itertools.product("ACGT", repeat=6)}
+        monkeypatch.setattr(L, "_neighbours", lambda *a: used.append(1) or around(*a))
+    found = L.nearest(spark.createDataFrame([(b,) for b in blocks], "block string"), spark.createDataFrame(library, "entry long, sequence string")).collect()
+    want = {b: min((sum(x != y for x, y in zip(b, s, strict=True)), e) for e, s in library) for b in blocks}
+    assert {r.block: (r.changed, r.entry) for r in found} == want and len(found) == len(want)
+    assert bool(used) == (pieces == 900)
