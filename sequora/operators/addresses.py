@@ -99,7 +99,8 @@ def nearest(codes: DataFrame, references: DataFrame, most: int = 2) -> DataFrame
         left = settled(left.join(waves[-1].select("code"), "code", "left_anti").where(F.col("wrong") <= most - more))
         meet = _without if more == 1 else _around
         known = meet(least, "code", "key", places).groupBy("key").agg(F.min("strand").alias("strand"))
-        waves.append(settled(meet(left.select("code"), "code", "key", places).join(known, "key").groupBy("code").agg(F.min("strand").alias("strand")).withColumn("more", F.lit(more))))
+        # told to merge: the planner does not see that rows are multiplied, and would broadcast what looks small
+        waves.append(settled(meet(left.select("code"), "code", "key", places).join(known.hint("merge"), "key").groupBy("code").agg(F.min("strand").alias("strand")).withColumn("more", F.lit(more))))
     found = waves[0]
     for wave in waves[1:]:
         found = found.unionByName(wave)

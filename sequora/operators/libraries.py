@@ -245,6 +245,7 @@ def nearest(blocks: DataFrame, library: DataFrame, most: int | None = None) -> D
     best = F.min(F.struct("changed", "entry")).alias("best")
     letters = [r.c for r in left.select(F.explode(F.split("block", "")).alias("c")).distinct().limit(65).collect()]
     known, limit, reach = pieces.count(), min(most, size), 0
+    # the planner does not see that rows are multiplied, and would broadcast what looks small: the waves' joins are told to merge
     while reach < limit and (n := left.count()):
         near, wide = reach + 1, min(max(2 * reach, 1), limit)
         costs = {"shared": n * known * size}
@@ -258,19 +259,19 @@ def nearest(blocks: DataFrame, library: DataFrame, most: int | None = None) -> D
         way = min(costs, key=costs.get)
         if way == "shared":
             a, b = _segments(left, "block", size, size), _segments(pieces, "sequence", size, size)
-            shared = a.join(b, ["part", "piece"]).groupBy("block", "sequence", "entry").agg((F.lit(size) - F.count(F.lit(1))).cast("int").alias("changed"))
+            shared = a.join(b.hint("merge"), ["part", "piece"]).groupBy("block", "sequence", "entry").agg((F.lit(size) - F.count(F.lit(1))).cast("int").alias("changed"))
             some = settled(shared.groupBy("block").agg(best).select("block", "best.entry", "best.changed"))
             none = left.join(some.select("block"), "block", "left_anti").join(F.broadcast(pieces.agg(F.min("entry").alias("entry")))).select("block", "entry", F.lit(size).alias("changed"))
             found.append(some.unionByName(none).where(F.col("changed") <= most))
             break
         if way == "segments":
-            wave = a.join(b, ["part", "piece"]).select("block", "entry", _changed("block", "sequence", size).alias("changed")).where(F.col("changed") <= wide)
+            wave = a.join(b.hint("merge"), ["part", "piece"]).select("block", "entry", _changed("block", "sequence", size).alias("changed")).where(F.col("changed") <= wide)
             wave, reach = wave.groupBy("block").agg(best).select("block", "best.entry", "best.changed"), wide
         elif way == "around":
-            wave, reach = left.join(_neighbours(pieces, size, letters), "block").select("block", "entry", F.lit(near).alias("changed")), near
+            wave, reach = left.join(_neighbours(pieces, size, letters).hint("merge"), "block").select("block", "entry", F.lit(near).alias("changed")), near
         else:
             keys = _masked(pieces.select("entry", "sequence"), "sequence", size, near).groupBy("mask", "piece").agg(F.min("entry").alias("entry"))
-            wave = _masked(left, "block", size, near).join(keys, ["mask", "piece"]).groupBy("block").agg(F.min("entry").alias("entry"))
+            wave = _masked(left, "block", size, near).join(keys.hint("merge"), ["mask", "piece"]).groupBy("block").agg(F.min("entry").alias("entry"))
             wave, reach = wave.select("block", "entry", F.lit(near).alias("changed")), near
         found.append(settled(wave))
         left = settled(left.join(found[-1].select("block"), "block", "left_anti"))

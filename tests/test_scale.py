@@ -143,11 +143,26 @@ def test_nearest_in_crowded_libraries(spark, monkeypatch, size, pieces):
     letters = lambda: "".join(rng.choice("ACGT") for _ in range(size))
     library = [(i, letters()) for i in range(pieces)]
     blocks = {letters() for _ in range(200)} | {s[:-2] + "NN" for _, s in library[:9]} | {"N" * size, "\0" + library[0][1][1:]}
-    used, around = [], L._neighbours
+    used, masked = [], L._masked
     if pieces == 900:  # half of what there is, against segments that some hundred thousand pairs share
         blocks |= {"".join(b) for b in itertools.product("ACGT", repeat=6)}
-        monkeypatch.setattr(L, "_neighbours", lambda *a: used.append(1) or around(*a))
+        monkeypatch.setattr(L, "_masked", lambda *a: used.append(1) or masked(*a))
     found = L.nearest(spark.createDataFrame([(b,) for b in blocks], "block string"), spark.createDataFrame(library, "entry long, sequence string")).collect()
     want = {b: min((sum(x != y for x, y in zip(b, s, strict=True)), e) for e, s in library) for b in blocks}
     assert {r.block: (r.changed, r.entry) for r in found} == want and len(found) == len(want)
     assert bool(used) == (pieces == 900)
+
+
+def test_multiplied_rows_are_not_broadcast(spark, monkeypatch):
+    """A few rows that become thousands look small to the planner: their joins are told to merge."""
+    from sequora.operators import addresses as A
+    from sequora.operators import libraries as L
+
+    plans = []
+    for module in (A, L):
+        monkeypatch.setattr(module, "settled", lambda df, keep=module.settled: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    refs = spark.range(9).select(F.col("id").alias("strand"), A.address_code(F.col("id")).alias("code"))
+    A.nearest(refs.select(F.col("code").bitwiseXOR(F.lit(5)).alias("code")), refs)
+    L.nearest(spark.createDataFrame([("ACGTAC",), ("TTTTTT",)], "block string"), spark.createDataFrame([(1, "ACGTAA")], "entry long, sequence string"))
+    waves = [p for p in plans if "Generate" in p and "Join Inner" in p]
+    assert len(waves) >= 3 and all("strategy=merge" in p for p in waves)
