@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators.bases import dna
 from ..session import table
 from ..sources import readers, tabix
 from ..streaming import streams
@@ -21,7 +22,7 @@ SPLIT = 64 << 10
 def fastq_splits(spark, sf):
     readers.register(spark)
     path = scratch(spark)
-    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), S.bytes_to_dna("text").alias("sequence")).where("sequence <> ''")
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), dna("text").alias("sequence")).where("sequence <> ''")
     rows.withColumn("quality", F.array_repeat(F.lit(7), F.length("sequence"))).write.format("fastq").mode("append").save(path)
     back = spark.read.format("fastq").option("splitBytes", SPLIT).load(path)
     return back.select("id", F.length("sequence").cast("long").alias("n"), F.md5(F.col("sequence").cast("binary")).alias("digest"), F.aggregate("quality", F.lit(0).cast("long"), lambda a, q: a + q).alias("quality"))

@@ -203,7 +203,7 @@ def lines(file, start: int, stop: int) -> Iterator[tuple[bool, bytes]]:
         if start == 0:
             yield from ((True, line) for line in _whole_lines(file))
     else:
-        yield from _plain_lines(file, start, stop)
+        yield from _plain_lines(file, start, stop, min(1 << 20, max(1 << 12, stop - start)))
 
 
 def _plain_lines(file, start: int, stop: int, step: int = 1 << 20) -> Iterator[tuple[bool, bytes]]:

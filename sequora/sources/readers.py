@@ -55,11 +55,20 @@ def read_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return parse_column(spark.read.format("binaryFile").load(path), "content", kind)
 
 
+#: Ranges up to which each is a task; of more, runs of neighbours are one task's.
+MOST_TASKS = 512
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, stop: int, header: tuple | None = None):
         self.path, self.start, self.stop, self.header = path, start, stop, header
 
 
+class _Run(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
 class _Reader(DataSourceReader):
     def __init__(self, kind: str, path: str, most: int):
         self.kind, self.path, self.most = kind, path, most
@@ -76,9 +85,32 @@ class _Reader(DataSourceReader):
                 elif self.kind == "fastq" and (B.block_size(head) or head[:2] != b"\x1f\x8b"):
                     cuts = B.ranges(size, self.most)
             out += [_Range(path, a, b, header) for a, b in cuts]
-        return out
+        each = -(-len(out) // MOST_TASKS)
+        return [_Run(out[i : i + each]) for i in range(0, len(out), max(each, 1))]
 
     def read(self, partition):
+        for one in partition.ranges:
+            yield from self._batches(one) if self.kind == "fastq" else self._rows(one)
+
+    def _batches(self, partition):
+        """FASTQ records in Arrow batches: qualities are a byte each until then."""
+        names, sequences, qualities, size = [], [], [], 0
+        for name, sequence, quality in splits.fastq_lines(self._lines(partition)):
+            names.append(name)
+            sequences.append(sequence)
+            qualities.append(quality)
+            size += len(quality)
+            if size > 1 << 22:
+                yield X.fastq_batch(names, sequences, qualities)
+                names, sequences, qualities, size = [], [], [], 0
+        if names:
+            yield X.fastq_batch(names, sequences, qualities)
+
+    def _lines(self, partition):
+        with B.opened(partition.path) as f:
+            yield from B.lines(f, partition.start, partition.stop)
+
+    def _rows(self, partition):
         with B.opened(partition.path) as f:
             if partition.header:
                 yield from splits.bam_range(f, partition.start, partition.stop, partition.header)

@@ -19,15 +19,21 @@ FIXED = 36
 
 def fastq_range(file, start: int, stop: int) -> Iterator[tuple[str, str, list[int]]]:
     """The records of a FASTQ file (plain, BGZF or gzip) that begin in [start, stop)."""
+    for name, sequence, quality in fastq_lines(lines(file, start, stop)):
+        yield name, sequence, [ord(c) - 33 for c in quality]
+
+
+def fastq_lines(found: Iterator[tuple[bool, bytes]]) -> Iterator[tuple[str, str, str]]:
+    """(id, sequence, quality letters) of the records that begin in a range, from the range's lines."""
     held: list[tuple[bool, bytes]] = []
-    for line in lines(file, start, stop):
+    for line in found:
         held.append(line)
         while held and not held[0][0]:
             return  # what begins now is another range's
         if len(held) == 4:
             if held[0][1].startswith(b"@") and held[2][1].startswith(b"+"):
                 name, sequence, quality = (held[i][1].decode("utf-8", "replace") for i in (0, 1, 3))
-                yield name[1:], sequence, [ord(c) - 33 for c in quality]
+                yield name[1:], sequence, quality
                 held = []
             else:
                 held = held[1:]

